@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op7_html_extraction
 from .mixing import op1_mixing
+from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op6_warc": op6_warc,
+        "op7_html_extraction": op7_html_extraction,
     }
 
 
