@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op7_html_extraction
 from .mixing import op1_mixing
+from .quality_rules import op5_quality_rules
 from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
         "op7_html_extraction": op7_html_extraction,
     }
