@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_batches, read
 
 #: Lines in a sliding window; a stretch's highest window sum must reach this share of the page's highest (pages without a root); links may be at most this share of a stretch.
 WINDOW, NEAR, LINKS = 3, 0.25, 0.6
@@ -221,7 +221,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     schema = pages.select(*keep).schema.add("text", "string")
-    return rows.mapInPandas(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

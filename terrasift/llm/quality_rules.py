@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read, table, words_of
+from .common import map_batches, read, table, words_of
 
 #: Least words, and the percentage of repeated words above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -109,7 +109,7 @@ def measure(docs: DataFrame, names: tuple[str, str] = VOCABULARIES) -> DataFrame
             yield f
 
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, piece_chars double, byte_chars double, byte_share double, entropy double"
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "lang", "text"), run, schema)
 
 
 def _cell() -> F.Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op7_html_extraction
 from .mixing import op1_mixing
+from .near_dups import op8_simhash
+from .packing import op4_packing
 from .quality_rules import op5_quality_rules
 from .warc import op6_warc
 
@@ -15,9 +17,11 @@ from .warc import op6_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
         "op7_html_extraction": op7_html_extraction,
+        "op8_simhash": op8_simhash,
     }
 
 

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, read, scratch_path, table
+from .common import attach, map_batches, read, scratch_path, table
 
 #: An archive takes records until it holds so many bytes of payload; the normaliser inflates by so many bytes at a time.
 ARCHIVE_BYTES, BLOCK = 64 << 20, 1 << 18
@@ -179,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if now:
             yield pd.DataFrame([now.close()], columns=["path", "index", "records"])
 
-    return pages.mapInPandas(run, "path string, index string, records long")
+    return map_batches(pages, run, "path string, index string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -207,7 +207,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 f = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield f.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.mapInPandas(run, schema)
+    return map_batches(archives, run, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
