@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .factorisation import op9_quality_classifier
 from .html_text import op7_html_extraction
 from .mixing import op1_mixing
 from .near_dups import op8_simhash
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": op6_warc,
         "op7_html_extraction": op7_html_extraction,
         "op8_simhash": op8_simhash,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
