@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read
+from .common import map_batches, read, table
 
 LONGEST, END = 1024, 0
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
@@ -105,5 +105,6 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bucketed(digests(pieces(read(spark, sf_dir, "documents"))))
+    # Written once: a range partitioning samples its input first, which would encode all texts a second time.
+    rows = bucketed(table(spark, digests(pieces(read(spark, sf_dir, "documents"))), "pieces"))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
