@@ -12,12 +12,14 @@ from .mixing import op1_mixing
 from .near_dups import op8_simhash
 from .packing import op4_packing
 from .quality_rules import op5_quality_rules
+from .toxicity import op2_toxicity
 from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_toxicity": op2_toxicity,
         "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
