@@ -12,6 +12,7 @@ from .mixing import op1_mixing
 from .near_dups import op8_simhash
 from .packing import op4_packing
 from .quality_rules import op5_quality_rules
+from .sketches import op10_bottom_k
 from .toxicity import op2_toxicity
 from .warc import op6_warc
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_extraction": op7_html_extraction,
         "op8_simhash": op8_simhash,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_bottom_k": op10_bottom_k,
     }
 
 
