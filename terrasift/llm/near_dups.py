@@ -26,10 +26,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import ascii_lower, attach, map_batches, read, table, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: For deduplication: fingerprints of a text, bits of its signature, and bits of it that near copies share (about a resemblance of 0.66 by the signature, whose error is 0.05; copies have 0.8 or more).
+PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 106, 5
 #: Shards of more fingerprints than this are split into shards of more equal bits.
 LARGE = 2000
 
@@ -107,13 +110,36 @@ class _Sets:
         return i != j
 
 
-def shard_links(codes: list[int], radius: int = RADIUS) -> list[int]:
-    """For each code the number of the first code of its component inside the shard."""
+def shard_links(codes: list[int], radius: int = RADIUS, signs: list[int] | None = None) -> list[int]:
+    """For each code the number of the first code of its component inside the shard.
+
+    signs: signatures; codes within the radius are linked only if their signatures agree in AGREE bits at least. Codes
+    may repeat then: those of one code are compared with each other's leaders, and leaders with those of codes nearby.
+    """
     sets, tree = _Sets(len(codes)), BKTree()
+    if signs is None:
+        for i, code in enumerate(codes):
+            for j in tree.search(code, radius):
+                sets.join(i, j)
+            tree.add(code)
+        return [sets.find(i) for i in range(len(codes))]
+    leaders: dict[int, list[int]] = {}
     for i, code in enumerate(codes):
-        for j in tree.search(code, radius):
+        if code not in leaders:
+            tree.add(code)
+        own = leaders.setdefault(code, [])
+        led = [j for j in own if (signs[i] ^ signs[j]).bit_count() <= SIGN_BITS - AGREE]
+        for j in led:
             sets.join(i, j)
-        tree.add(code)
+        if not any(signs[i] == signs[j] for j in led):
+            own.append(i)
+    for code, own in leaders.items():
+        for k in tree.search(code, radius):
+            if tree.codes[k] < code:
+                for i in own:
+                    for j in leaders[tree.codes[k]]:
+                        if (signs[i] ^ signs[j]).bit_count() <= SIGN_BITS - AGREE:
+                            sets.join(i, j)
     return [sets.find(i) for i in range(len(codes))]
 
 
@@ -154,18 +180,20 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
     def linked(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """Of the shards that begin at starts; the last start only ends the one before."""
         node, code = b["node"].to_numpy(), b["code"].to_numpy().view(np.uint64)
+        sign = [b[c].to_numpy().view(np.uint64) for c in ("s1", "s2") if c in b]
         a_out, b_out = [], []
         for i in np.flatnonzero(np.diff(starts) > 1):
             part = slice(starts[i], starts[i + 1])
             own = node[part]
-            for j, first in enumerate(shard_links([int(x) for x in code[part]], radius)):
+            signs = [int(x) << 64 | int(y) for x, y in zip(sign[0][part], sign[1][part], strict=True)] if sign else None
+            for j, first in enumerate(shard_links([int(x) for x in code[part]], radius, signs)):
                 if first != j:
                     lo, hi = sorted((int(own[first]), int(own[j])))
                     a_out.append(lo)
                     b_out.append(hi)
         return pd.DataFrame({"lo": np.array(a_out, np.int64), "hi": np.array(b_out, np.int64)})
 
-    dealt = rows.select("shard.t", "shard.v", "node", "code")
+    dealt = rows.select("shard.t", "shard.v", *(c for c in rows.columns if c != "shard"))
     dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "v").sortWithinPartitions("t", "v", "node")
     return map_batches(dealt, run, "lo long, hi long")
 
@@ -173,6 +201,9 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
 def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
     """(node, code), codes unique -> links (lo, hi) that connect all codes within the radius of each other.
 
+    With columns s1 and s2, a signature, codes may repeat, and only nodes with signatures alike are linked. With column
+    f, codes of different f have nothing to do with each other (several fingerprints of each node).
+
     A shard of more than `large` codes goes to the next level, whose shards agree in half of the bits that were free
     before. At the last level at most some ten bits are free, so no shard can hold more than about a thousand codes:
     the groups are bounded, exactly and whatever the data.
@@ -182,10 +213,12 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: in
     for level, masks in enumerate(_levels(radius)):
         if rows is None:
             keys = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("v")) for _, k, m in masks)))
-            rows = nodes.select("node", "code", keys.alias("shard"))
+            rows = nodes.select("*", keys.alias("shard"))
         else:
             near = F.broadcast(spark.createDataFrame([(up, k, _signed(m)) for up, k, m in masks], "up int, t int, m long"))  # thousands of rows, a constant
-            rows = rows.join(near, F.col("shard.t") == F.col("up")).select("node", "code", F.struct("t", F.col("code").bitwiseAND(F.col("m")).alias("v")).alias("shard"))
+            rows = rows.join(near, F.col("shard.t") == F.col("up")).select(*nodes.columns, F.struct("t", F.col("code").bitwiseAND(F.col("m")).alias("v")).alias("shard"))
+        if "f" in nodes.columns:
+            rows = rows.withColumn("shard", F.struct((F.col("shard.t") + F.col("f") * len(masks)).alias("t"), F.col("shard.v").alias("v")))
         more = None
         if level < 2:
             sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > large).select("shard")
@@ -193,6 +226,8 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: in
             if n := sizes.count():
                 sizes = F.broadcast(sizes) if n <= 10_000 else sizes
                 more = table(spark, rows.join(sizes, "shard", "left_semi"), "large")
+                if "f" in nodes.columns:
+                    more = more.withColumn("shard", F.struct(F.pmod(F.col("shard.t"), F.lit(len(masks))).alias("t"), F.col("shard.v").alias("v")))
                 rows = rows.join(sizes, "shard", "left_anti")
         found = _tree_links(rows, radius)
         out = found if out is None else out.unionByName(found)
@@ -237,6 +272,89 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS)
     return out.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
+    return h ^ (h >> np.uint64(31))
+
+
+class _Hashes(dict):
+    """Word to hash; forgets when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
+        return h
+
+
+def marks(text: str | None, hashes: _Hashes) -> tuple[int, ...]:
+    """PRINTS SimHash fingerprints over the text's distinct words, and the two halves of a one-bit minhash signature over its five-word shingles."""
+    words = words_of(ascii_lower(text)) if text else []
+    if not words:
+        return (0,) * (PRINTS + 2)
+    h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+    own = np.unique(h)
+    out = []
+    for f in range(PRINTS):
+        ones = np.zeros(64, np.int64)
+        x = _mixed(own + np.uint64((f * int(_MIX[2])) & ((1 << 64) - 1)))
+        for part in np.array_split(x, len(x) // 65536 + 1):
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(own)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+    k = min(SIGN_SHINGLE, len(h))
+    s = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        s = _mixed(s + h[i : len(h) - k + 1 + i] + _MIX[2])
+    s = np.sort(s)
+    bins = (s >> np.uint64(57)).astype(np.int64)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    have, least = bins[first], s[first]
+    at = np.searchsorted(have, np.arange(SIGN_BITS))  # an empty bin borrows from the next that isn't
+    away = (have[at % len(have)] - np.arange(SIGN_BITS)) % SIGN_BITS
+    bits = (_mixed(least[at % len(have)] + away.astype(np.uint64) * _MIX[0]) & np.uint64(1)).astype(np.uint8)
+    return (*out, *(int(x) for x in np.packbits(bits, bitorder="little").view(np.uint64)))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, c0 ... (fingerprints), s1, s2 (signature): one row for each row."""
+    names = [*(f"c{i}" for i in range(PRINTS)), "s1", "s2"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for b in batches:
+            m = np.array([marks(t, hashes) for t in b["text"]], np.uint64).reshape(len(b), len(names)).view(np.int64)
+            out = pd.DataFrame(m, columns=names)
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            yield out
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without copies and near copies: of each group the row of the smallest doc_id stays.
+
+    Near copies share 0.8 or more of their five-word shingles. They are found by SimHash fingerprints over distinct
+    words, in which such copies differ by about four bits of 64: with PRINTS independent fingerprints nearly all have
+    one within RADIUS bits. The BK-trees propose, and signatures of the shingles decide, where the trees are searched;
+    so no pairs are sent anywhere. Rows without doc_id all stay; of rows with one doc_id one stays.
+    """
+    seen = table(spark, marked(docs.where(F.col("doc_id").isNotNull())), "marks")
+    codes = [f"c{i}" for i in range(PRINTS)]
+    nodes = table(spark, seen.groupBy(*codes, "s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
+    each = nodes.select("node", "s1", "s2", F.posexplode(F.array(*codes)).alias("f", "code"))
+    found = components(spark, links(spark, each))
+    stay = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_anti").select(F.col("node").alias("_stay"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.struct("*").alias("_row"))
+    kept = rows.where("_id IS NOT NULL").join(stay.hint("merge"), F.col("_id") == F.col("_stay"))
+    one = kept.withColumn("_r", F.lag(F.lit(1)).over(W.partitionBy("_stay").orderBy("_x"))).where("_r IS NULL")
+    return one.select("_row.*").unionByName(rows.where("_id IS NULL").select("_row.*"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, read(spark, sf_dir, "documents"))
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))

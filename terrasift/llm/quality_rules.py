@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ship import ship
 from .common import map_batches, read, table, words_of
 
 #: Least words, and the percentage of repeated words above which a text fails.
@@ -90,28 +91,37 @@ def fertility(text: str, names: tuple[str, str] = VOCABULARIES) -> tuple[int, fl
     return len(ids), len(text) / len(ids), len(text) / max(1, len(byte.encode_ordinary(text))), float(is_byte[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, piece_chars double, byte_chars double, byte_share double, entropy double"
+
+
+def measured_texts(texts: Iterable[str | None], names: tuple[str, str] = VOCABULARIES) -> pd.DataFrame:
+    """The base counts and the measures of whole texts."""
+    out = []
+    for text in texts:
+        text = text or ""
+        words = words_of(text)
+        n, repeats = len(words), repeated_words(words)
+        failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
+        base = (n, sum(map(len, words)), len(SYMBOL.findall(text)), repeated_lines(text), repeats, failed)
+        out.append(base + ((0, 0.0, 0.0, 0.0, 0.0) if failed else fertility(text, names)))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def measure(docs: DataFrame, names: tuple[str, str] = VOCABULARIES) -> DataFrame:
     """doc_id, lang, the base counts and the measures: one row for each row; texts that fail the base rules aren't tokenised."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for text in b["text"]:
-                text = text or ""
-                words = words_of(text)
-                n, repeats = len(words), repeated_words(words)
-                failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
-                base = (n, sum(map(len, words)), len(SYMBOL.findall(text)), repeated_lines(text), repeats, failed)
-                out.append(base + ((0, 0.0, 0.0, 0.0, 0.0) if failed else fertility(text, names)))
-            f = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")][2:])
+            f = measured_texts(b["text"], names)
             f.insert(0, "lang", b["lang"].to_numpy())
             f.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield f
 
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, piece_chars double, byte_chars double, byte_share double, entropy double"
+    schema = "doc_id long, lang string, " + SCHEMA
     return map_batches(docs.select(F.col("doc_id").cast("long"), "lang", "text"), run, schema)
 
 
+
 def _cell() -> F.Column:
     return F.struct(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang"), F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int").alias("size"))
 
@@ -153,6 +163,14 @@ def judge(spark: SparkSession, measured: DataFrame) -> DataFrame:
     return rows.select(*measured.columns, ok.alias("kept"))
 
 
+def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep. They are written once with their measures; texts are tokenised once and not shuffled."""
+    ship(spark)
+    run = F.pandas_udf(lambda texts: measured_texts(texts), SCHEMA)
+    rows = table(spark, docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("lang"), run("text").alias("_m")), "rows")
+    return judge(spark, rows.select("_row", "doc_id", "lang", "_m.*")).where("kept").select("_row.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = table(spark, measure(read(spark, sf_dir, "documents")), "measured")
     return judge(spark, measured)

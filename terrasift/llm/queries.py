@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .factorisation import op9_quality_classifier
@@ -19,6 +20,7 @@ from .warc import op6_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mixing": op1_mixing,
         "op2_toxicity": op2_toxicity,
         "op4_packing": op4_packing,
