@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 from .common import ascii_lower, attach, map_batches, read, table, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: For deduplication: fingerprints of a text, bits of its signature, and bits of it that near copies share (about a resemblance of 0.66 by the signature, whose error is 0.05; copies have 0.8 or more).
-PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 106, 5
+#: For deduplication: fingerprints of a text, bits of its signature, and bits of it that near copies share (a resemblance of 0.72 by the signature, whose error is 0.05, as copies have 0.8 or more).
+PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 110, 5
 #: Shards of more fingerprints than this are split into shards of more equal bits.
 LARGE = 2000
 
