@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .factorisation import op9_quality_classifier
 from .html_text import op7_html_extraction
+from .katz import op3_katz
 from .mixing import op1_mixing
 from .near_dups import op8_simhash
 from .packing import op4_packing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_mixing": op1_mixing,
         "op2_toxicity": op2_toxicity,
+        "op3_katz": op3_katz,
         "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
