@@ -10,7 +10,7 @@ P(w | context) = P(class of w | class before) * P(w | its class), a distribution
 - a rare token: its discounted share of its class, in which the unknown token has the Good-Turing remainder.
 Where Good-Turing isn't defined (too few counts) half a count is taken off instead.
 
-The probabilities, recursively evaluated for each context, are a matrix of (CLASSES + 2)^2 floats at most: 67 MB, which
+The probabilities, recursively evaluated for each context, are a matrix of (CLASSES + 2)^2 floats at most: 38 MB, which
 goes to the executors; so do the counts of the HEAD most frequent tokens. Counts of the others meet the documents'
 rarer words in a shuffle by word. So every document is scored whole, and nothing broadcast grows with the corpus.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, crc_mod, map_batches, read, scratch_path, table, words_of
 
-CLASSES, HEAD, MOST = 4096, 65_536, 5
+CLASSES, HEAD, MOST = 3072, 65_536, 5
 #: The end's hash is that of a line feed, which is in no word. Parts of the bigrams' table.
 END = "\n"
 PARTS = 16
@@ -52,7 +52,7 @@ class _Codes(dict):
         self.ranks = ranks
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = _hash(word) | _TOP  # hashes have 63 bits, so that a code tells what it is
         c = self[word] = self.ranks.get(h, h)
@@ -76,7 +76,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
             for text in b["text"]:
                 held.append(codes.of(text))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted(held)
                     held, size = [], 0
         if held:
@@ -149,7 +149,7 @@ def bigrams(docs: DataFrame, head: np.ndarray) -> DataFrame:
                 k = classes_of(codes.of(text))
                 held.append((np.concatenate([[CLASSES + 1], k[:-1]]) << 16) | k)
                 size += len(k)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted(held)
                     held, size = [], 0
         if held:
@@ -208,8 +208,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, uni: DataFrame, he
         base, rare = m.base(m.counts), m.in_rare(m.counts)
         rare[:CLASSES] = 0.0
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.iloc[i : i + 1000]
+            for i in range(0, len(b), 250):
+                part = b.iloc[i : i + 250]
                 out = [one(codes.of(t), m, base, rare) for t in part["text"]]
                 f = pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "h", "n"])
                 f.insert(0, "doc_id", part["doc_id"].to_numpy())
