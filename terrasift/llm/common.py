@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,10 +46,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that go to Python at a time: texts can be long, and a worker holds several copies of a batch.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Python functions, and puts this package on the executors."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back; workers live on between tasks, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
-    """mapInPandas, with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    """mapInPandas in small batches, with this package on the executors."""
+    small_batches(df.sparkSession)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInPandas(task, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,6 +15,7 @@ named are read; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,21 +32,27 @@ VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 
 
 @lru_cache(1)
-def _encoders(names: tuple[str, str]):  # noqa: ANN202
+def _fast(names: tuple[str, str]):  # noqa: ANN202
     import tiktoken
-    from tokenizers import Tokenizer
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(names[1]), "rb"))}
-    slow = Tokenizer.from_file(public_tokenizers.path(names[0]))
-    special = tuple(t.content for t in slow.get_added_tokens_decoder().values())
-    return slow, special, tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(names[0]), encoding="utf-8") as f:
+        special = tuple(t["content"] for t in json.load(f)["added_tokens"])
+    return special, tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(1)
+def _slow(name: str):  # noqa: ANN202
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def encode(text: str | None, names: tuple[str, str] = VOCABULARY) -> np.ndarray:
     """The document's ids and the end id, as little-endian unsigned 32-bit numbers."""
-    slow, special, fast = _encoders(names)
+    special, fast = _fast(names)
     text = text or ""
-    ids = slow.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+    ids = _slow(names[0]).encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
     return np.array([*ids, END], "<u4")
 
 

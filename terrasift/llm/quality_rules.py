@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ship import ship
-from .common import map_batches, read, table, words_of
+from .common import map_batches, read, release, small_batches, table, words_of
 
 #: Least words, and the percentage of repeated words above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -165,9 +164,15 @@ def judge(spark: SparkSession, measured: DataFrame) -> DataFrame:
 
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. They are written once with their measures; texts are tokenised once and not shuffled."""
-    ship(spark)
-    run = F.pandas_udf(lambda texts: measured_texts(texts), SCHEMA)
-    rows = table(spark, docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("lang"), run("text").alias("_m")), "rows")
+    small_batches(spark)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield measured_texts(texts)
+        release()
+
+    measures = F.pandas_udf(run, SCHEMA, F.PandasUDFType.SCALAR_ITER)("text")
+    rows = table(spark, docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("lang"), measures.alias("_m")), "rows")
     return judge(spark, rows.select("_row", "doc_id", "lang", "_m.*")).where("kept").select("_row.*")
 
 

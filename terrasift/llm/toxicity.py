@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ship import ship
-from .common import ascii_lower, crc_mod, map_batches, read, table, words_of
+from .common import ascii_lower, crc_mod, map_batches, read, release, small_batches, table, words_of
 
 #: Labelled rows to learn from; words a window; bytes of the dictionaries' contents; letters of the units that are contrasted.
 TOXIC, ORDINARY, WINDOW, SHARED_BYTES, TOXIC_BYTES, GRAM = 2000, 4000, 8, 8192, 1024, 5
@@ -223,12 +222,13 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def scored(docs: DataFrame, scorer: Scorer, name: str) -> DataFrame:
     """docs with the scores of their texts as a column, whatever their other columns."""
-    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a, t = scorer.compressors()
         for texts in parts:
             yield pd.Series(scorer.score(np.array([savings(x, a, t) for x in texts], np.float64).reshape(len(texts), 6)))
+        release()
 
     return docs.withColumn(name, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)("text"))
 
