@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import terrain_queries
+from . import detect, feature_queries, terrain_queries
 
-MODULES = (terrain_queries,)
+MODULES = (terrain_queries, feature_queries)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface to ranked candidates."""
+    return detect.detect_candidates(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {"detect_candidates": detect.detect_candidates} | {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,45 @@
+"""From an elevation raster to ranked candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import grid, stats
+from ..functions.durable import durable
+from ..operators import masks, terrain
+
+
+def channels(cells: DataFrame, level: int = 5) -> DataFrame:
+    """r, c, v and all terrain channels, with the discovery score; the frame is written once between the steps."""
+    df = terrain.relief_channels(cells.select("r", "c", "v"), level).select("r", "c", "v", "max_relief", "persistence")
+    df = terrain.linear_scale(durable(df), 3.0, "linear")
+    df = terrain.ridge_valley(terrain.annular(durable(df)))
+    df = terrain.texture(durable(df))
+    return durable(df.withColumn("terrain_novelty", F.lit(0.0))).withColumn("discovery", terrain.discovery("plain"))
+
+
+def detect(cells: DataFrame, side: int, level: int = 5, percentile: float = 90.0, least_cells: int = 1, most: int = 385) -> DataFrame:
+    """Candidates: connected cells whose discovery score reaches the percentile, scored, classified and ranked."""
+    from ..operators.vector import ranked
+
+    df = durable(channels(cells, level))
+    limit = df.agg(F.percentile("discovery", F.lit(percentile / 100)).alias("_limit"))
+    df = df.crossJoin(F.broadcast(limit)).withColumn("mask", F.col("discovery") >= F.col("_limit")).drop("_limit")
+    labels = durable(masks.components(df, "mask", side))
+    found = masks.component_stats(labels, df.select("r", "c", "discovery"), "discovery").where(F.col("n") >= least_cells)
+    j = labels.join(df, ["r", "c"])
+    evidence = j.groupBy("label").agg(*(F.avg(stats.clip(F.col(c))).alias(c) for c in ("linear", "annular", "persistence", "max_relief")))
+    tail = stats.tail_mean(j, ["label"], "discovery", 0.72, "tail")
+    out = found.join(evidence, "label").join(tail, "label")
+    wide, high = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
+    score = 100 * stats.clip(0.45 * F.col("q82") + 0.25 * F.col("tail") + 0.15 * F.col("max_relief") + 0.15 * F.col("persistence"))
+    out = out.select(
+        F.col("label").alias("id"), F.col("n").alias("cells"), "r0", "r1", "c0", "c1", F.round(score, 6).alias("score"), F.lit(0.0).alias("novelty"), "linear", "annular", F.col("max_relief").alias("relief"),
+        F.lit(0.0).alias("penalty"), (F.greatest(wide, high) / F.least(wide, high)).alias("elongation"), F.lit(0.0).alias("morphology"), F.round("tail", 6).alias("tail"),
+    )
+    return ranked(out, most, level).drop("penalty", "morphology", "novelty")
+
+
+def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(grid.surface(spark, sf_dir), grid.SIDE)
