@@ -62,9 +62,10 @@ def units_of(text: str | None) -> set[bytes]:
 
 
 def _copies_keys(text: str | None) -> tuple[int, int]:
-    """Two minima over a text's long words; copies and near copies nearly always share one."""
-    ws = [w.encode("utf-8", "surrogatepass") for w in set(words_of(ascii_lower(text or ""))) if len(w) >= 8]
-    return tuple(min((zlib.crc32(w, seed) for w in ws), default=zlib.crc32((text or "").encode("utf-8", "surrogatepass"), seed)) for seed in (1, 2))
+    """Two minima over a text's three-word runs; copies and near copies nearly always share one."""
+    w = words_of(ascii_lower(text or ""))
+    runs = {" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(w) - 2))}
+    return tuple(min(zlib.crc32(r, seed) for r in runs) for seed in (1, 2))
 
 
 class Scorer:
