@@ -95,15 +95,29 @@ def pieces(docs: DataFrame, names: tuple[str, str] = VOCABULARY, longest: int =
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """Pieces dealt out by length, each with its sequence_id; offset is 0, as a piece is a whole sequence."""
+    """Pieces (a written table) dealt out by length, each with its sequence_id; offset is 0, as a piece is a whole sequence.
+
+    The buckets of the lengths, longest first, lie on a line, each as wide as its pieces are large; the line is cut into
+    equal partitions, so that a bucket of long pieces goes to as many tasks as its bytes need.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    weight = F.octet_length("ids") + 100 if "ids" in rows.columns else F.lit(1)
+    sizes = sorted(((r["length"], float(r["w"])) for r in rows.groupBy("length").agg(F.sum(weight).alias("w")).collect()), reverse=True)  # a row a power of two
+    whole, at, where = sum(w for _, w in sizes) or 1.0, 0.0, []
+    for length, w in sizes:
+        where += [F.lit(length).cast("long"), F.array(F.lit(at / whole), F.lit(w / whole))]
+        at += w
     key = F.xxhash64("doc_id", "start")
-    order = rows.withColumn("_k", key).repartitionByRange(F.col("length").desc(), F.col("_k")).sortWithinPartitions(F.col("length").desc(), "_k").drop("_k")
-    return order.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    place = F.create_map(*where)[F.col("length")] if where else F.array(F.lit(0.0), F.lit(1.0))
+    part = F.least(F.floor((place[0] + place[1] * F.pmod(key, F.lit(1 << 20)) / float(1 << 20)) * n), F.lit(n - 1)).cast("int")
+    dealt = rows.withColumn("_k", key).withColumn("_p", part).repartitionById(n, F.col("_p")).sortWithinPartitions(F.col("length").desc(), "_k")
+    return dealt.drop("_k", "_p").withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def pack(docs: DataFrame, names: tuple[str, str] = VOCABULARY, longest: int = LONGEST) -> DataFrame:
-    """All documents as sequences, with their ids."""
-    return bucketed(pieces(docs, names, longest))
+    """All documents as sequences, with their ids and the ids' checksums."""
+    rows = table(docs.sparkSession, pieces(docs, names, longest), "pieces")  # read twice: for the sizes, and to be dealt out
+    return bucketed(rows.withColumn("ids_crc32", F.crc32("ids")))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -112,6 +126,6 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Written once: a range partitioning samples its input first, which would encode all texts a second time.
+    # Written once, as the buckets' sizes have to be known before the pieces are dealt out.
     rows = bucketed(table(spark, digests(pieces(read(spark, sf_dir, "documents"))), "pieces"))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
