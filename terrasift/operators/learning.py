@@ -183,3 +183,24 @@ def patch_descriptors(cells: DataFrame, centres: DataFrame, half: int) -> DataFr
         return pd.DataFrame({"id": [b["id"].iloc[0]], "descriptor": [_patch_descriptor(z)]})
 
     return got.groupBy("id").applyInPandas(one, "id long, descriptor array<double>")
+
+
+def examples(features: DataFrame, scale: Column, scales: tuple[float, ...] = (0.75, 1.0, 1.5), rotations: int = 8) -> DataFrame:
+    """Positive training examples: each feature (id) at several scales, clamped to 32..256 and distinct, and all rotations."""
+    sizes = F.array_distinct(F.array(*(F.least(F.lit(256.0), F.greatest(F.lit(32.0), scale * s)) for s in scales)))
+    return features.select("id", F.explode(sizes).alias("scale")).withColumn("rotation", F.explode(F.array(*(F.lit(k * 360.0 / rotations) for k in range(rotations)))))
+
+
+def negatives(tiles: DataFrame, forbidden: DataFrame, wanted: int, buffer: float, seed: str = "n", tries: int = 30) -> DataFrame:
+    """Per tile (id, x0, y0, x1, y1) the first `wanted` of tries * wanted hashed points that keep `buffer` away from forbidden boxes (id, x0, y0, x1, y1)."""
+    from .vector import overlapping
+
+    def unit(tag: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed + tag), F.col("id"), F.col("k"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+    points = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries * wanted - 1))))
+    points = points.select("id", "k", (F.col("x0") + unit("x") * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + unit("y") * (F.col("y1") - F.col("y0"))).alias("y"))
+    dots = points.select("id", "k", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    hit = overlapping(dots, forbidden.select("id", "x0", "y0", "x1", "y1"), max(8.0, 2 * buffer), pad=buffer)
+    free = points.join(hit.select(F.col("l_id").alias("id"), F.col("l_k").alias("k")), ["id", "k"], "left_anti")
+    return free.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("k"))).where(F.col("_n") <= wanted).drop("_n")

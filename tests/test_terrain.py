@@ -136,3 +136,23 @@ def test_no_cartesian_product(spark, data):
 def test_constant_surface_has_no_relief(spark):
     z = np.full((8, 8), 3.0)
     assert array(stats.robust_unit(raster(spark, z), "v", "u"), "u", z.shape).max() == 0
+
+
+def test_shapes():
+    from terrasift.operators import shapes
+
+    square = np.array([(0, 0), (4, 0), (4, 2), (0, 2), (2, 1)], float)
+    turn = np.array([(np.cos(0.5), np.sin(0.5)), (-np.sin(0.5), np.cos(0.5))])
+    assert len(shapes.hull(square)) == 4
+    long, short, direction = shapes.smallest_rectangle(square @ turn)
+    assert (long, short) == (pytest.approx(4), pytest.approx(2)) and direction == pytest.approx(math.degrees(0.5))
+    u = np.array([(0, 0), (6, 0), (6, 6), (5, 6), (5, 1), (1, 1), (1, 6), (0, 6)], float)
+    x, y = shapes.representative(u)
+    assert y == 3 and (0 < x < 1 or 5 < x < 6)
+
+
+def test_shape_columns(spark, data):
+    from terrasift.plans.shape_queries import shape_metrics
+
+    s = shape_metrics(spark, data).toPandas()
+    assert np.allclose(s["hull_area"], s["w"] * s["h"]) and np.allclose(s["long"], s[["w", "h"]].max(axis=1))
