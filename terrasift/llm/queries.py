@@ -35,5 +35,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Five hexadecimal digits of the digest are four letters of base32.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS INT), 1)), '')"
+
+OP6_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS d FROM p), r AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash with functions, tokenise or learn in ways that SQL hasn't: tests/llm/ holds brute-force versions."""
+    return {"op6_warc": OP6_SQL}

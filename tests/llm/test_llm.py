@@ -244,6 +244,16 @@ def test_warc(spark, edge):
     assert sorted((text(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, text(r.refers_to)) for r in got.itertuples()) == want
 
 
+def test_warc_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    want = con.sql(queries.oracle_sql()["op6_warc"]).df().sort_values("page_id").reset_index(drop=True)
+    got = OPS["op6_warc"](spark, data).toPandas().sort_values("page_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False)
+
+
 def test_warc_normaliser_round_trip():
     raws = [warc.record(i, f"http://x/{i}", bytes([i % 256]) * n, None, False) for i, n in enumerate((0, 1, 70_000, 3, 1_000_000))]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
