@@ -51,25 +51,38 @@ def box_kernel(size: int) -> list[tuple[int, float]]:
     return [(k, 1 / size) for k in range(-(size // 2), size // 2 + 1)]
 
 
-def convolve(df: DataFrame, col: str, kernel: list[tuple[int, float]], out: str) -> DataFrame:
-    """out: col under the kernel along both axes."""
+def _line(col: str, kernel: list[tuple[int, float]], axis: str) -> Column:
+    terms = [shifted(F.col(col), k, axis) * x for k, x in kernel]
+    return sum(terms[1:], terms[0])
+
 
-    def line(c: str, axis: str) -> Column:
-        terms = [shifted(F.col(c), k, axis) * x for k, x in kernel]
-        return sum(terms[1:], terms[0])
+def convolve_all(df: DataFrame, specs: list[tuple[str, list[tuple[int, float]], str]]) -> DataFrame:
+    """For each (column, kernel, out): the column under the kernel along both axes.
 
-    return df.withColumn("_line", line(col, "x")).withColumn(out, line("_line", "y")).drop("_line")
+    All windows along the rows come first and then all along the columns, so that any number of them takes two shuffles.
+    """
+    df = df.withColumns({f"_line_{i}": _line(col, kernel, "x") for i, (col, kernel, _) in enumerate(specs)})
+    df = df.withColumns({out: _line(f"_line_{i}", kernel, "y") for i, (_, kernel, out) in enumerate(specs)})
+    return df.drop(*(f"_line_{i}" for i in range(len(specs))))
+
+
+def convolve(df: DataFrame, col: str, kernel: list[tuple[int, float]], out: str) -> DataFrame:
+    return convolve_all(df, [(col, kernel, out)])
 
 
 def gauss(df: DataFrame, col: str, sigma: float, out: str) -> DataFrame:
     return convolve(df, col, gauss_kernel(sigma), out)
 
 
+def box_all(df: DataFrame, specs: list[tuple[str, int, Callable[[Column], Column], str]]) -> DataFrame:
+    """For each (column, size, max or min, out): the column's extreme over a size x size window, in two shuffles."""
+    df = df.withColumns({f"_line_{i}": how(F.col(col)).over(along("x").rowsBetween(-(size // 2), size // 2)) for i, (col, size, how, _) in enumerate(specs)})
+    df = df.withColumns({out: how(F.col(f"_line_{i}")).over(along("y").rowsBetween(-(size // 2), size // 2)) for i, (_, size, how, out) in enumerate(specs)})
+    return df.drop(*(f"_line_{i}" for i in range(len(specs))))
+
+
 def box(df: DataFrame, col: str, size: int, how: Callable[[Column], Column], out: str) -> DataFrame:
-    """out: max or min of col over a size x size window."""
-    h = size // 2
-    df = df.withColumn("_line", how(F.col(col)).over(along("x").rowsBetween(-h, h)))
-    return df.withColumn(out, how(F.col("_line")).over(along("y").rowsBetween(-h, h))).drop("_line")
+    return box_all(df, [(col, size, how, out)])
 
 
 def gradient(col: str, axis: str) -> Column:

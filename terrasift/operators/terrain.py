@@ -36,7 +36,14 @@ def fill_nearest(cells: DataFrame, col: str = "v") -> DataFrame:
 
 
 def slope(cells: DataFrame, col: str = "v") -> DataFrame:
-    return cells.withColumn("gx", grid.gradient(col, "x")).withColumn("gy", grid.gradient(col, "y")).withColumn("slope", F.hypot("gx", "gy"))
+    # A smoothed frame is partitioned by column already, so gy needs no shuffle.
+    return cells.withColumn("gy", grid.gradient(col, "y")).withColumn("gx", grid.gradient(col, "x")).withColumn("slope", F.hypot("gx", "gy"))
+
+
+def curvature(cells: DataFrame, out: str) -> DataFrame:
+    """out: |d gx / dx + d gy / dy|, from a frame that slope() leaves partitioned by row."""
+    cells = cells.withColumn("_cx", grid.gradient("gx", "x")).withColumn("_cy", grid.gradient("gy", "y"))
+    return cells.withColumn(out, F.abs(F.col("_cx") + F.col("_cy"))).drop("_cx", "_cy")
 
 
 def shade(azimuth: float, altitude: float) -> Column:
@@ -72,9 +79,8 @@ def hillshade_arch(cells: DataFrame) -> DataFrame:
 
 def reliefs(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
     """rel_0 ...: value minus its Gaussian mean at each scale."""
-    for i, s in enumerate(scales):
-        cells = grid.gauss(cells, "v", grid.relief_sigma(s), "_g").withColumn(f"rel_{i}", F.col("v") - F.col("_g")).drop("_g")
-    return cells
+    cells = grid.convolve_all(cells, [("v", grid.gauss_kernel(grid.relief_sigma(s)), f"_g{i}") for i, s in enumerate(scales)])
+    return cells.withColumns({f"rel_{i}": F.col("v") - F.col(f"_g{i}") for i in range(len(scales))}).drop(*(f"_g{i}" for i in range(len(scales))))
 
 
 def relief_z(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
@@ -102,8 +108,7 @@ def relief_channels(cells: DataFrame, level: int = 5, scales: tuple[float, ...]
 def coherence(cells: DataFrame, gx: str, gy: str, sigma: float) -> DataFrame:
     """coherence of the structure tensor, 0 where there is no gradient."""
     products = cells.withColumn("_xx", F.col(gx) * F.col(gx)).withColumn("_xy", F.col(gx) * F.col(gy)).withColumn("_yy", F.col(gy) * F.col(gy))
-    for p in ("_xx", "_xy", "_yy"):
-        products = grid.gauss(products, p, sigma, p)
+    products = grid.convolve_all(products, [(p, grid.gauss_kernel(sigma), p) for p in ("_xx", "_xy", "_yy")])
     trace = F.col("_xx") + F.col("_yy")
     root = F.sqrt((F.col("_xx") - F.col("_yy")) ** 2 + 4 * F.col("_xy") ** 2)
     return products.withColumn("coherence", F.when(trace > 1e-9, root / (trace + 1e-9)).otherwise(0.0)).drop("_xx", "_xy", "_yy")
@@ -111,7 +116,7 @@ def coherence(cells: DataFrame, gx: str, gy: str, sigma: float) -> DataFrame:
 
 def linear_scale(cells: DataFrame, scale: float, out: str) -> DataFrame:
     """Line response at one scale: relief * edge * (0.30 + 0.50 coherence + 0.20 curvature)."""
-    df = slope(grid.gauss(cells, "v", grid.relief_sigma(scale), "s"), "s").withColumn("curv", F.abs(grid.gradient("gx", "x") + grid.gradient("gy", "y"))).withColumn("rel", F.abs(F.col("v") - F.col("s")))
+    df = curvature(slope(grid.gauss(cells, "v", grid.relief_sigma(scale), "s"), "s"), "curv").withColumn("rel", F.abs(F.col("v") - F.col("s")))
     df = stats.robust_units(coherence(df, "gx", "gy", 1.4), {"curv": "_k", "rel": "_e", "slope": "_d"}, 0.997)
     value = F.col("_e") * F.col("_d") * (0.30 + 0.50 * stats.clip(F.col("coherence")) + 0.20 * F.col("_k"))
     return df.withColumn(out, value).select(*cells.columns, out)
@@ -119,22 +124,17 @@ def linear_scale(cells: DataFrame, scale: float, out: str) -> DataFrame:
 
 def annular(cells: DataFrame, scales: tuple[float, ...] = PATTERN) -> DataFrame:
     """Ring response: difference of nested box means, the strongest over the scales."""
-    df = cells
-    for i, s in enumerate(scales):
-        df = grid.convolve(df, "v", grid.box_kernel(grid.odd_pixels(2.4 * s, 5)), "_o")
-        df = grid.convolve(df, "v", grid.box_kernel(grid.odd_pixels(0.75 * s, 3)), "_i")
-        df = df.withColumn(f"_d{i}", F.abs(F.col("_o") - F.col("_i"))).drop("_o", "_i")
+    sizes = [(f"_{k}{i}", grid.odd_pixels(f * s, least)) for i, s in enumerate(scales) for k, f, least in (("o", 2.4, 5), ("i", 0.75, 3))]
+    df = grid.convolve_all(cells, [("v", grid.box_kernel(n), out) for out, n in sizes])
+    df = df.withColumns({f"_d{i}": F.abs(F.col(f"_o{i}") - F.col(f"_i{i}")) for i in range(len(scales))})
     df = stats.robust_units(df, {f"_d{i}": f"_a{i}" for i in range(len(scales))}, 0.997)
     return df.select(*cells.columns, reduce(F.greatest, (F.col(f"_a{i}") for i in range(len(scales)))).alias("annular"))
 
 
 def ridge_valley(cells: DataFrame, scales: tuple[float, ...] = PATTERN) -> DataFrame:
     """Height over the lowest and depth under the highest cell near by, the strongest over the scales."""
-    df = cells
-    for i, s in enumerate(scales):
-        size = grid.odd_pixels(s, 3)
-        df = grid.box(grid.box(df, "v", size, F.max, "_hi"), "v", size, F.min, "_lo")
-        df = df.withColumn(f"_up{i}", F.col("v") - F.col("_lo")).withColumn(f"_dn{i}", F.col("_hi") - F.col("v")).drop("_hi", "_lo")
+    df = grid.box_all(cells, [("v", grid.odd_pixels(s, 3), how, f"_{k}{i}") for i, s in enumerate(scales) for k, how in (("hi", F.max), ("lo", F.min))])
+    df = df.withColumns({f"_up{i}": F.col("v") - F.col(f"_lo{i}") for i in range(len(scales))} | {f"_dn{i}": F.col(f"_hi{i}") - F.col("v") for i in range(len(scales))})
     names = [f"{k}{i}" for i in range(len(scales)) for k in ("_up", "_dn")]
     df = stats.robust_units(df, {n: f"_u{n}" for n in names}, 0.997)
     return df.select(*cells.columns, reduce(F.greatest, (F.col(f"_u{n}") for n in names)).alias("ridge_valley"))
@@ -143,10 +143,9 @@ def ridge_valley(cells: DataFrame, scales: tuple[float, ...] = PATTERN) -> DataF
 def texture(cells: DataFrame, scales: tuple[float, ...] = SCALES, base: float = 6.0) -> DataFrame:
     """texture and coherence at the base scale."""
     df = reliefs(cells, scales)
-    for i in range(len(scales)):
-        df = grid.gauss(df, f"rel_{i}", 1.2, "_g").withColumn(f"_t{i}", F.abs(F.col(f"rel_{i}") - F.col("_g"))).drop("_g")
-    df = df.withColumn("_tex", reduce(F.greatest, (F.col(f"_t{i}") for i in range(len(scales)))))
-    df = slope(grid.gauss(df, "v", grid.relief_sigma(base), "s"), "s").withColumn("_curv", F.abs(grid.gradient("gx", "x") + grid.gradient("gy", "y")))
+    df = grid.convolve_all(df, [(f"rel_{i}", grid.gauss_kernel(1.2), f"_t{i}") for i in range(len(scales))] + [("v", grid.gauss_kernel(grid.relief_sigma(base)), "s")])
+    df = df.withColumn("_tex", reduce(F.greatest, (F.abs(F.col(f"rel_{i}") - F.col(f"_t{i}")) for i in range(len(scales)))))
+    df = curvature(slope(df, "s"), "_curv")
     df = stats.robust_units(coherence(df, "gx", "gy", 1.6), {"_tex": "_rt", "_curv": "_rc", "slope": "_rs"}, 0.997)
     value = F.greatest(F.col("_rt"), 0.55 * F.col("_rc") + 0.45 * F.col("_rs") * stats.clip(F.col("coherence")))
     return df.withColumn("texture", value).withColumn("coherence", stats.clip(F.col("coherence"))).select(*cells.columns, "texture", "coherence")
