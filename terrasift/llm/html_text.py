@@ -49,20 +49,21 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
 
 
-def _declared(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element says that it isn't part of the article. inside: it stands in <article> or <main>."""
+def _declared(name: str, attributes: str, inside: bool, by_class: bool = True) -> bool:
+    """Whether an element says that it isn't part of the article. inside: it stands in <article> or <main>. by_class: names of classes count too."""
     if name in ASIDE or name == "header" and not inside:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or not by_class or name in ("html", "body", "article", "main"):
         return False
     a = _attributes(attributes)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
         return True
-    said = PART.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    said = PART.findall(" ".join(n for n in names if not n.startswith(("has-", "no-", "with-", "without-", "is-"))))
     return any(w in NOT_ARTICLE for w in said) or (not inside and "header" in said and name in ("div", "section", "table", "ul"))
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
+def lines_of(html: str, by_class: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, characters in links, in <article> or <main>) for each line; whether the page has such a root with text."""
     lines: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
@@ -148,7 +149,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if name in INLINE:
             if name not in VOID and not m[3].endswith("/"):
-                if _declared(name, m[3], roots > 0):
+                if _declared(name, m[3], roots > 0, by_class):
                     skip_at = len(stack)
                 stack.append(name)
                 in_link += name == "a" and skip_at < 0
@@ -160,7 +161,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             close(len(stack) - 1 - stack[::-1].index("p"))
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1] == name:
             close(len(stack) - 1)
-        if _declared(name, m[3], roots > 0):
+        if _declared(name, m[3], roots > 0, by_class):
             flush(WINDOW)
             skip_at = len(stack)
         elif name in ("article", "main"):
@@ -196,6 +197,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, rooted = lines_of(html)
+    if not any(t for t, _, _ in lines):  # a class name may have stood for the whole page
+        lines, rooted = lines_of(html, by_class=False)
     if rooted:
         lines = [x if x[2] else ("", 0, False) for x in lines]
     found = stretches(lines)

@@ -272,6 +272,8 @@ HTML = [
     ("<div><p>" + "word " * 60 + "</p><p>last</p></div>", ("word " * 60).strip() + "\nlast"),
     ("<article><p>a</p><div class='ad'>buy<div>now</div></div><p>b</p><section class='comments'><article>c</article></section></article>", "a\nb"),
     ("<div class=ad>left open<article><p>kept</p></article>", "kept"),
+    ("<body><div class='page sidebar-left'><p>all there is</p></div>", "all there is"),
+    ("<body><div class='layout has-sidebar'><p>text</p><div class='widget'>w</div></div>", "text"),
     ("", ""),
     (None, ""),
     ("plain &nbsp; text", "plain text"),
