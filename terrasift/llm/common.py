@@ -30,7 +30,8 @@ HEAVY_ROWS, HEAVY_KEYS = 1000, 10_000
 
 
 def ascii_lower(text: str) -> str:
-    return text.translate(_TO_LOWER) if not text.isascii() else text.lower()
+    """A-Z in lower case and nothing else (lower() of bytes knows ASCII only; translate() takes twenty times as long)."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def lower_column(text: Column) -> Column:
