@@ -14,7 +14,6 @@ rows are judged one by one, alike; an empty table gives an empty result; only th
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_batches, read, release, small_batches, table, words_of
+from .common import WORD_RE, map_batches, read, release, small_batches, table, words_of
 
 #: Least words, and the percentage of repeated words above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -33,7 +32,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 WIDTH, LEAST = 5.0, 50
 #: measure: (bins a unit, least robust deviation, fixed low, fixed high)
 MEASURES = {"piece_chars": (200, 0.03, 0.5, 12.0), "byte_chars": (200, 0.03, 0.5, 12.0), "byte_share": (1000, 0.01, 0.0, 0.6), "entropy": (100, 0.12, 1.0, 15.0)}
-SYMBOL = re.compile(r"[#*$%&|<>]")
+SYMBOLS = "#*$%&|<>"
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
 
 
@@ -63,7 +62,7 @@ def repeated_lines(text: str) -> int:
     for line in text.split("\n"):
         if line in seen:
             n += 1
-        elif words_of(line):
+        elif WORD_RE.search(line):
             seen.add(line)
     return n
 
@@ -101,7 +100,7 @@ def measured_texts(texts: Iterable[str | None], names: tuple[str, str] = VOCABUL
         words = words_of(text)
         n, repeats = len(words), repeated_words(words)
         failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
-        base = (n, sum(map(len, words)), len(SYMBOL.findall(text)), repeated_lines(text), repeats, failed)
+        base = (n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed)
         out.append(base + ((0, 0.0, 0.0, 0.0, 0.0) if failed else fertility(text, names)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
