@@ -31,8 +31,12 @@ from pyspark.sql import Window as W
 from .common import ascii_lower, attach, map_batches, read, table, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: For deduplication: fingerprints of a text, bits of its signature, and bits of it that near copies share (a resemblance of 0.72 by the signature, whose error is 0.05, as copies have 0.8 or more).
-PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 110, 5
+#: For deduplication: fingerprints of a text, bits of its signature, bits of it that proposed pairs share (far fewer than the 115 of copies of 0.8, as exact resemblance decides), and words of a shingle.
+PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 98, 5
+#: Bands of minima over shingles, and minima in each: a pair of resemblance 0.8 has none in common with a chance of 0.0002.
+BANDS, BAND = 16, 4
+#: Bands that split a band's large shard; a group of at most FEW proposes all its pairs, a larger one a spanning forest.
+NEXT, FEW = 4, 16
 #: Shards of more fingerprints than this are split into shards of more equal bits.
 LARGE = 2000
 
@@ -110,39 +114,55 @@ class _Sets:
         return i != j
 
 
-def shard_links(codes: list[int], radius: int = RADIUS, signs: list[int] | None = None) -> list[int]:
-    """For each code the number of the first code of its component inside the shard.
-
-    signs: signatures; codes within the radius are linked only if their signatures agree in AGREE bits at least. Codes
-    may repeat then: those of one code are compared with each other's leaders, and leaders with those of codes nearby.
-    """
+def shard_links(codes: list[int], radius: int = RADIUS) -> list[int]:
+    """For each code the number of the first code of its component inside the shard."""
     sets, tree = _Sets(len(codes)), BKTree()
-    if signs is None:
-        for i, code in enumerate(codes):
-            for j in tree.search(code, radius):
-                sets.join(i, j)
-            tree.add(code)
-        return [sets.find(i) for i in range(len(codes))]
-    leaders: dict[int, list[int]] = {}
     for i, code in enumerate(codes):
-        if code not in leaders:
-            tree.add(code)
-        own = leaders.setdefault(code, [])
-        led = [j for j in own if (signs[i] ^ signs[j]).bit_count() <= SIGN_BITS - AGREE]
-        for j in led:
+        for j in tree.search(code, radius):
             sets.join(i, j)
-        if not any(signs[i] == signs[j] for j in led):
-            own.append(i)
-    for code, own in leaders.items():
-        for k in tree.search(code, radius):
-            if tree.codes[k] < code:
-                for i in own:
-                    for j in leaders[tree.codes[k]]:
-                        if (signs[i] ^ signs[j]).bit_count() <= SIGN_BITS - AGREE:
-                            sets.join(i, j)
+        tree.add(code)
     return [sets.find(i) for i in range(len(codes))]
 
 
+def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Pairs with signatures alike of codes that the tree links; codes may repeat."""
+    groups: dict[int, list[int]] = {}
+    for i, code in enumerate(codes):
+        groups.setdefault(code, []).append(i)
+    around: dict[int, list[int]] = {}
+    for first, own in zip(shard_links(list(groups), radius), groups.values(), strict=True):
+        around.setdefault(first, []).extend(own)
+    out = []
+    for rows in around.values():
+        if len(rows) > 1:
+            at = np.array(rows)
+            out += [(rows[i], rows[j]) for i, j in alike_pairs(s1[at], s2[at])]
+    return out
+
+
+def alike_pairs(s1: np.ndarray, s2: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs whose signatures agree in AGREE bits: all of a few rows; else the spanning forest of the likest pairs.
+
+    The pairs of any least resemblance connect the same rows as the forest's pairs of that resemblance.
+    """
+    n = len(s1)
+    if n <= FEW:
+        off = np.bitwise_count(s1[:, None] ^ s1) + np.bitwise_count(s2[:, None] ^ s2)
+        i, j = np.nonzero(np.triu(off <= SIGN_BITS - AGREE, 1))
+        return list(zip(i.tolist(), j.tolist(), strict=True))
+    far = 1000
+    least, source, out, at = np.full(n, far - 1), np.zeros(n, np.int64), [], 0
+    for _ in range(n - 1):
+        off = np.bitwise_count(s1 ^ s1[at]).astype(np.int64) + np.bitwise_count(s2 ^ s2[at])
+        least[at] = far
+        nearer = (off < least) & (least < far)
+        least[nearer], source[nearer] = off[nearer], at
+        at = int(least.argmin())
+        if least[at] <= SIGN_BITS - AGREE:
+            out.append((int(source[at]), at))
+    return out
+
+
 def masks_of(free: int, blocks: int, radius: int) -> list[int]:
     """Masks of blocks - radius out of `blocks` even blocks of the free bits: codes within the radius agree under one of them."""
     bits = [i for i in range(64) if free >> i & 1]
@@ -164,7 +184,10 @@ def _signed(x: int) -> int:
 
 
 def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(shard, node, code) -> links from each node to the first of its component in the shard; shards are bounded."""
+    """(shard, node, code) -> links from each node to the first of its component in the shard; shards are bounded.
+
+    With signatures: proposed pairs; without codes then, whatever is in the shard may be a pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -179,14 +202,19 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
 
     def linked(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """Of the shards that begin at starts; the last start only ends the one before."""
-        node, code = b["node"].to_numpy(), b["code"].to_numpy().view(np.uint64)
+        node, code = b["node"].to_numpy(), b["code"].to_numpy().view(np.uint64) if "code" in b else None
         sign = [b[c].to_numpy().view(np.uint64) for c in ("s1", "s2") if c in b]
         a_out, b_out = [], []
         for i in np.flatnonzero(np.diff(starts) > 1):
             part = slice(starts[i], starts[i + 1])
             own = node[part]
-            signs = [int(x) << 64 | int(y) for x, y in zip(sign[0][part], sign[1][part], strict=True)] if sign else None
-            for j, first in enumerate(shard_links([int(x) for x in code[part]], radius, signs)):
+            if not sign:
+                pairs = enumerate(shard_links([int(x) for x in code[part]], radius))
+            elif code is None:
+                pairs = alike_pairs(sign[0][part], sign[1][part])
+            else:
+                pairs = shard_pairs([int(x) for x in code[part]], sign[0][part], sign[1][part], radius)
+            for j, first in pairs:
                 if first != j:
                     lo, hi = sorted((int(own[first]), int(own[j])))
                     a_out.append(lo)
@@ -201,7 +229,7 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
 def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
     """(node, code), codes unique -> links (lo, hi) that connect all codes within the radius of each other.
 
-    With columns s1 and s2, a signature, codes may repeat, and only nodes with signatures alike are linked. With column
+    With columns s1 and s2, a signature, codes may repeat, and only nodes with signatures alike are proposed. With column
     f, codes of different f have nothing to do with each other (several fingerprints of each node).
 
     A shard of more than `large` codes goes to the next level, whose shards agree in half of the bits that were free
@@ -237,6 +265,66 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: in
     return out
 
 
+def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> DataFrame:
+    """(node, bands, s1, s2) -> pairs (lo, hi) proposed for nodes that have a band in common.
+
+    A shard of more than `large` nodes is split by each of the NEXT bands that follow; what is larger still has eight
+    minima alike, and is dealt to pieces anew for each choice of bands.
+    """
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        sizes = table(spark, rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > large), "large-bands")
+        if not (n := sizes.count()):
+            return rows, None
+        sizes = F.broadcast(sizes) if n <= 10_000 else sizes
+        return rows.join(sizes, "shard", "left_anti"), rows.join(sizes, "shard")
+
+    shard = F.struct(F.col("t"), F.col("v")).alias("shard")
+    rows = nodes.select("node", "s1", "s2", F.posexplode("bands").alias("t", "v")).select("node", "s1", "s2", shard)
+    rows, more = split(rows)
+    out = _tree_links(rows, RADIUS)
+    if more is None:
+        return out
+    more = table(spark, more.drop("_n"), "large").join(nodes.select("node", "bands"), "node")
+    t = F.col("shard.t")
+    each = F.explode(F.array(*(F.struct((t + d * BANDS).alias("t"), F.xxhash64("shard.v", F.get("bands", (t + d) % BANDS)).alias("v")) for d in range(1, NEXT + 1))))
+    rows, more = split(table(spark, more.select("node", "s1", "s2", each.alias("shard")), "split"))
+    out = out.unionByName(_tree_links(rows, RADIUS))
+    if more is None:
+        return out
+    piece = F.pmod(F.xxhash64("node", "shard.t", "shard.v"), F.ceil(F.col("_n") / large))
+    pieces = F.struct(F.col("shard.t").alias("t"), F.xxhash64("shard.v", piece).alias("v")).alias("shard")
+    return out.unionByName(_tree_links(more.select("node", "s1", "s2", pieces), RADIUS))
+
+
+def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (lo, hi) of ids whose texts share 0.8 or more of their five-word shingles, counted on the shingles themselves."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for b in batches:
+            sets = [np.unique(shingles(_word_hashes(t, hashes))).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "n": b["n"], "own": sets})
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["own_lo"], b["own_hi"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) else 0
+                keep.append(x.tobytes() == y.tobytes() or 5 * both >= 4 * (len(x) + len(y) - both))
+            yield b.loc[keep, ["lo", "hi"]]
+
+    pairs = table(spark, pairs.where("lo < hi").distinct(), "proposed")
+    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node").select("node", "n", "text")
+    sets = table(spark, map_batches(texts, shingled, "node long, n long, own binary"), "shingles")
+    met, n = pairs, pairs.count()
+    for end, other in (("lo", "hi"), ("hi", "lo")):
+        met = attach(met, sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("own").alias(f"own_{end}")), end, n, f"n_{end}", F.col(other))
+    return map_batches(met.select("lo", "hi", "own_lo", "own_hi"), alike, "lo long, hi long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Links (lo, hi) -> (node, component) for each node that is linked; the component is its smallest node.
 
@@ -292,12 +380,27 @@ class _Hashes(dict):
         return h
 
 
-def marks(text: str | None, hashes: _Hashes) -> tuple[int, ...]:
-    """PRINTS SimHash fingerprints over the text's distinct words, and the two halves of a one-bit minhash signature over its five-word shingles."""
+def _word_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
     words = words_of(ascii_lower(text)) if text else []
-    if not words:
-        return (0,) * (PRINTS + 2)
-    h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+    return np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of a text with these words, in order of the text; shorter texts are one shingle."""
+    if not len(h):
+        return h
+    k = min(SIGN_SHINGLE, len(h))
+    s = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        s = _mixed(s + h[i : len(h) - k + 1 + i] + _MIX[2])
+    return s
+
+
+def marks(text: str | None, hashes: _Hashes) -> tuple[int, ...]:
+    """PRINTS SimHash fingerprints over the text's distinct words, and of its five-word shingles the two halves of a one-bit minhash signature and BANDS bands of BAND minima."""
+    h = _word_hashes(text, hashes)
+    if not len(h):
+        return (0,) * (PRINTS + 2 + BANDS)
     own = np.unique(h)
     out = []
     for f in range(PRINTS):
@@ -306,48 +409,49 @@ def marks(text: str | None, hashes: _Hashes) -> tuple[int, ...]:
         for part in np.array_split(x, len(x) // 65536 + 1):
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits((2 * ones > len(own)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
-    k = min(SIGN_SHINGLE, len(h))
-    s = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        s = _mixed(s + h[i : len(h) - k + 1 + i] + _MIX[2])
-    s = np.sort(s)
+    s = np.sort(shingles(h))
     bins = (s >> np.uint64(57)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
     have, least = bins[first], s[first]
     at = np.searchsorted(have, np.arange(SIGN_BITS))  # an empty bin borrows from the next that isn't
     away = (have[at % len(have)] - np.arange(SIGN_BITS)) % SIGN_BITS
-    bits = (_mixed(least[at % len(have)] + away.astype(np.uint64) * _MIX[0]) & np.uint64(1)).astype(np.uint8)
-    return (*out, *(int(x) for x in np.packbits(bits, bitorder="little").view(np.uint64)))
+    minima = _mixed(least[at % len(have)] + away.astype(np.uint64) * _MIX[0])
+    bits = (minima & np.uint64(1)).astype(np.uint8)
+    bands = np.zeros(BANDS, np.uint64)
+    for part in minima.reshape(BAND, -1)[:, :: SIGN_BITS // BAND // BANDS]:  # bins far apart: neighbours borrow from the same one
+        bands = _mixed(bands + part + _MIX[2])
+    return (*out, *(int(x) for x in np.packbits(bits, bitorder="little").view(np.uint64)), *bands.tolist())
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, c0 ... (fingerprints), s1, s2 (signature): one row for each row."""
+    """doc_id, c0 ... (fingerprints), s1, s2 (signature), bands: one row for each row."""
     names = [*(f"c{i}" for i in range(PRINTS)), "s1", "s2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for b in batches:
-            m = np.array([marks(t, hashes) for t in b["text"]], np.uint64).reshape(len(b), len(names)).view(np.int64)
-            out = pd.DataFrame(m, columns=names)
+            m = np.array([marks(t, hashes) for t in b["text"]], np.uint64).reshape(len(b), len(names) + BANDS).view(np.int64)
+            out = pd.DataFrame(m[:, : len(names)], columns=names)
+            out["bands"] = list(m[:, len(names) :])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without copies and near copies: of each group the row of the smallest doc_id stays.
 
-    Near copies share 0.8 or more of their five-word shingles. They are found by SimHash fingerprints over distinct
-    words, in which such copies differ by about four bits of 64: with PRINTS independent fingerprints nearly all have
-    one within RADIUS bits. The BK-trees propose, and signatures of the shingles decide, where the trees are searched;
-    so no pairs are sent anywhere. Rows without doc_id all stay; of rows with one doc_id one stays.
+    Near copies share 0.8 or more of their five-word shingles. They are proposed by SimHash fingerprints over distinct
+    words, in which copies with scattered changes differ by about four bits of 64, and by bands of minima over the
+    shingles, which find them wherever the changes lie. Signatures of the shingles drop most of what is proposed, and
+    the shingles themselves decide. Rows without doc_id all stay; of rows with one doc_id one stays.
     """
     seen = table(spark, marked(docs.where(F.col("doc_id").isNotNull())), "marks")
     codes = [f"c{i}" for i in range(PRINTS)]
-    nodes = table(spark, seen.groupBy(*codes, "s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = table(spark, seen.groupBy(*codes, "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
     each = nodes.select("node", "s1", "s2", F.posexplode(F.array(*codes)).alias("f", "code"))
-    found = components(spark, links(spark, each))
+    found = components(spark, confirmed(spark, docs, links(spark, each).unionByName(band_links(spark, nodes))))
     stay = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_anti").select(F.col("node").alias("_stay"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.struct("*").alias("_row"))
     kept = rows.where("_id IS NOT NULL").join(stay.hint("merge"), F.col("_id") == F.col("_stay"))

@@ -376,6 +376,55 @@ def test_near_copies_go_and_others_stay(spark):
     assert list(out.columns) == ["doc_id", "text", "node"]
 
 
+def passage_copies(n, seed=5):
+    """Texts and copies with a passage appended, cut or replaced: (text, group)."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    some = lambda k: rnd.choices(vocabulary, cum_weights=weights, k=k)
+    weights = list(np.cumsum(1 / np.arange(1, 20001)))
+    out = []
+    for g in range(n):
+        w = some(rnd.choice([80, 200, 500, 2000]))
+        k = len(w)
+        at = rnd.randrange(k - k // 12)
+        copy = [w + some(k // 10), w[: k - k // 10], w + some(k // 5), w[:at] + some(k // 12) + w[at + k // 12 :]][g % 4]
+        out += [(" ".join(w), g), (" ".join(copy), g)]
+    return out
+
+
+@pytest.mark.parametrize("large", [2000, 3])
+def test_copies_with_changed_passages_go(spark, large, monkeypatch):
+    monkeypatch.setattr(near_dups.band_links, "__defaults__", (large,))
+    texts = passage_copies(400)
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    like = {}
+    for i in range(0, len(texts), 2):
+        a, b = grams(texts[i][0]), grams(texts[i + 1][0])
+        like[i // 2] = len(a & b) / len(a | b)
+    left = collections.Counter(texts[r["doc_id"]][1] for r in near_dups.deduplicate(spark, spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect())
+    near = [g for g in like if like[g] >= 0.8]
+    assert len(near) > 250 and sum(left[g] == 1 for g in near) >= 0.99 * len(near)
+    assert all(left[g] == 2 for g in like if like[g] < 0.8)
+
+
+def test_large_bands_are_split(spark):
+    rnd = random.Random(6)
+    w = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        x = list(w)
+        x[rnd.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dups.marked(docs).withColumnRenamed("doc_id", "node")
+    pairs = near_dups.confirmed(spark, docs, near_dups.band_links(spark, nodes, 20))
+    assert near_dups.components(spark, pairs).where("component = 0").count() == 199
+
+
 def test_quality_classifier(spark, data):
     got = OPS["op9_quality_classifier"](spark, data).join(common.read(spark, data, "labels"), "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() >= 0.8
