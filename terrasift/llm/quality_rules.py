@@ -125,25 +125,41 @@ def _cell() -> F.Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """cell, measure, low, high: from histograms of all documents that pass the base rules."""
+    """cell, measure, low, high: from histograms of all documents that pass the base rules.
+
+    A cell has the band of its narrowest pool of LEAST documents: the cell, with the sizes beside it, its language, all.
+    """
     good = measured.where("NOT base_failed").select(_cell().alias("cell"), *MEASURES)
     long = good.select("cell", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * MEASURES[m][0]).cast("int").alias("bin")) for m in MEASURES))).alias("x")).select("cell", "x.*")
     bins = long.groupBy("cell", "measure", "bin").agg(F.count("*").alias("n"))
+
+    def pool(level: int, lang: F.Column, size: F.Column) -> F.Column:
+        return F.struct(F.lit(level).alias("level"), lang.alias("lang"), size.cast("int").alias("size"))
+
+    lang, size = F.col("cell.lang"), F.col("cell.size")
+    wide = [pool(2, lang, F.lit(0)), pool(3, F.lit(""), F.lit(0))]
+    into = F.array(pool(0, lang, size), *(pool(1, lang, size + d) for d in (-1, 0, 1)), *wide)
+    bins = bins.select(F.explode(into).alias("pool"), "measure", "bin", "n").groupBy("pool", "measure", "bin").agg(F.sum("n").alias("n"))
     per = F.create_map(*(F.lit(x) for m in MEASURES for x in (m, float(MEASURES[m][0]))))
     floor_ = F.create_map(*(F.lit(x) for m in MEASURES for x in (m, MEASURES[m][1])))
 
     def median(df: DataFrame, value: str, name: str) -> DataFrame:
-        whole = W.partitionBy("cell", "measure")
+        whole = W.partitionBy("pool", "measure")
         run = df.withColumn("_upto", F.sum("n").over(whole.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))).withColumn("_all", F.sum("n").over(whole))
         return run.withColumn(name, F.min(F.when(2 * F.col("_upto") >= F.col("_all"), F.col(value))).over(whole)).drop("_upto")
 
     mid = median(bins, "bin", "mid")
     dev = median(mid.withColumn("off", F.abs(F.col("bin") - F.col("mid"))), "off", "mad")
-    stats = dev.groupBy("cell", "measure").agg(F.first("mid").alias("mid"), F.first("mad").alias("mad"), F.first("_all").alias("n"))
+    stats = dev.groupBy("pool", "measure").agg(F.first("mid").alias("mid"), F.first("mad").alias("mad"), F.first("_all").alias("n"))
+    stats = table(measured.sparkSession, stats, "pools")  # a few for each cell
+    cells = stats.where("pool.level = 0").select(F.struct("pool.lang", "pool.size").alias("cell"), "measure")
+    pools = cells.withColumn("pool", F.explode(F.array(pool(0, lang, size), pool(1, lang, size), *wide)))
+    met = pools.join(stats.where((F.col("n") >= LEAST) | (F.col("pool.level") == 3)), ["pool", "measure"])
+    stats = met.groupBy("cell", "measure").agg(F.min_by(F.struct("mid", "mad"), "pool.level").alias("x")).select("cell", "measure", "x.*")
     unit = per[F.col("measure")]
     half = WIDTH * F.greatest(1.4826 * F.col("mad") / unit, floor_[F.col("measure")])
     centre = (F.col("mid") + 0.5) / unit
-    return stats.where(F.col("n") >= LEAST).select("cell", "measure", (centre - half).alias("low"), (centre + half).alias("high"))
+    return stats.select("cell", "measure", (centre - half).alias("low"), (centre + half).alias("high"))
 
 
 def judge(spark: SparkSession, measured: DataFrame) -> DataFrame:

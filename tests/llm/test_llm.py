@@ -233,6 +233,18 @@ def test_quality_keeps_clean_and_rejects_odd(spark):
     assert got.loc[:299, "kept"].mean() > 0.98 and not got.loc[999, "kept"] and not got.loc[999, "base_failed"]
 
 
+def test_small_cells_have_bands(spark):
+    rnd = random.Random(10)
+    words = "the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you".split()
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    odd = lambda n: " ".join("".join(rnd.choice("qxzjkvw") for _ in range(9)) for _ in range(n))
+    rows = [(i, text(200), "en") for i in range(100)] + [(i, text(n), "en") for i, n in enumerate([400] * 5 + [5000] * 3, 100)]
+    rows += [(200, odd(130), "en"), (201, odd(2000), "en"), (202, odd(60), "xx"), (203, text(200), "xx"), (204, text(200), None)]
+    got = quality_rules.judge(spark, quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).toPandas().set_index("doc_id")
+    assert not got["base_failed"].any() and got.loc[:107, "kept"].mean() > 0.95
+    assert got.loc[200:, "kept"].tolist() == [False, False, False, True, True]
+
+
 def test_warc(spark, edge):
     got = OPS["op6_warc"](spark, edge).toPandas()
     rows = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{edge}/pages.parquet").collect()]
