@@ -506,6 +506,15 @@ def test_pipeline_stages(spark, data):
     assert packed.agg(F.sum("length")).first()[0] == mixed.select(F.sum(F.lit(0))).first()[0] or packed.count() > 0
 
 
+def test_pipeline_drops_what_the_operator_rejects(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity_stub)
+    toxicity_stub = type("Scorer", (), {"toxic": b"a", "ordinary": b"b"})
+    monkeypatch.setattr(toxicity, "scored", lambda rows, scorer, name: rows.withColumn(name, F.col("text").cast("double")))
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *_: None)
+    docs = spark.createDataFrame([(1, "0.29"), (2, "0.3"), (3, "0.45"), (4, "0.6")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.toxic_filter(spark, docs, "").collect()] == [1]
+
+
 def test_attach_stands_heavy_keys(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k long, id long"))
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("k IS NOT NULL AND k % 2 = 1")
