@@ -1,18 +1,22 @@
 """Operator 3: scoring by a Katz backoff model with Good-Turing discounts.
 
 Tokens are a text's words in lower case and one end. All training tokens are counted, in a table of unigrams. The
-CLASSES most frequent tokens are classes of their own, all others one class of rare tokens, so the bigrams of classes
-have a bound whatever the corpus. Their counts make a table partitioned by context.
+CLASSES most frequent tokens are classes of their own, all others one class of rare tokens. Counts of neighbouring
+classes make a table partitioned by context; all bigrams of words of which one is rare make another, which grows with
+the corpus (see word_bigrams()). Bigrams of two frequent words are in the first as they are.
 
-P(w | context) = P(class of w | class before) * P(w | its class), a distribution over all tokens and one unknown:
+Where no bigram of the words was seen, P(w | context) = P(class of w | class before) * P(w | its class), a distribution over all tokens and one unknown:
 - seen bigram: d_n n / n(context), with the Good-Turing discount d_n of counts up to MOST;
 - unseen: alpha(context) P(class), where alpha makes the context's probabilities sum to one exactly;
 - a rare token: its discounted share of its class, in which the unknown token has the Good-Turing remainder.
 Where Good-Turing isn't defined (too few counts) half a count is taken off instead.
 
-The probabilities, recursively evaluated for each context, are a matrix of (CLASSES + 2)^2 floats at most: 38 MB, which
+A seen bigram with a rare word has its own discounted share: of all that follows a rare context, or of the rare tokens
+that follow a frequent one. What is taken off goes, by the context's own alpha, to the words not seen there.
+
+The probabilities of classes, recursively evaluated for each context, are a matrix of (CLASSES + 2)^2 floats at most: 38 MB, which
 goes to the executors; so do the counts of the HEAD most frequent tokens. Counts of the others meet the documents'
-rarer words in a shuffle by word. So every document is scored whole, and nothing broadcast grows with the corpus.
+rarer words in a shuffle by word, and counts of bigrams the documents' bigrams in a shuffle by bigram. So every document is scored whole, and nothing broadcast grows with the corpus.
 
 Defined results: null text is the empty text, of one token; repeated rows are scored, and learnt from, one by one;
 null ids count as the empty text for the folds; without training rows all base scores are 0; only the columns named are
@@ -198,8 +202,90 @@ def fit(spark: SparkSession, docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(head, counts, x["n"], x["v"], rare, d1, unknown, log_p), uni
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, uni: DataFrame, held_out: Column) -> DataFrame:
+#: The context of a text's first token, among the codes.
+START = HEAD
+
+
+def rare_pairs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and tokens of a text's bigrams that have a rare word."""
+    before = np.concatenate([np.array([START], np.uint64), c[:-1]])
+    first, second = (before >= np.uint64(CLASSES)) & (before != np.uint64(START)), c >= np.uint64(CLASSES)
+    return before[first | second], c[first | second]
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = v * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) + w
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_bigrams(spark: SparkSession, docs: DataFrame, model: Model, uni: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All bigrams with a rare word: (key, gain) of each, and (v, alpha) of each context, as log10.
+
+    gain is what the bigram's own probability is above that of the classes times alpha. A bigram with a rare word has
+    at most one of CLASSES of all tokens, so no key or rare context is large; frequent contexts are CLASSES + 1.
+    """
+    shared = spark.sparkContext.broadcast(model.head)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, held, size = _Codes({int(h): i for i, h in enumerate(shared.value)}), [], 0
+        for b in batches:
+            for text in b["text"]:
+                held.append(np.stack(rare_pairs(codes.of(text)), axis=1))
+                size += len(held[-1])
+                if size > 500_000:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.concatenate(held)
+        _, at, n = np.unique(pair_key(pairs[:, 0], pairs[:, 1]), return_index=True, return_counts=True)
+        return pd.DataFrame({"v": pairs[at, 0].view(np.int64), "w": pairs[at, 1].view(np.int64), "n": n})
+
+    rows = map_batches(docs.select("text"), run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    rows = table(spark, rows, "word-bigrams")
+    sizes = rows.where(F.col("n") <= MOST + 1).groupBy("n").agg(F.count("*").alias("k")).collect()
+    d = F.array(*(F.lit(float(x)) for x in discounts({r["n"]: r["k"] for r in sizes})))
+    frequent = ((F.col("v") >= 0) & (F.col("v") < CLASSES)) | (F.col("v") == START)
+
+    # What the classes give the word: among the rare after a frequent context, among all after a rare one.
+    after = float(model.log_p[0, 0])
+    inside = model.in_rare(model.counts)
+    inside[:CLASSES] = model.log_p[0, 1 : 1 + len(inside[:CLASSES])] - after
+    ranks = pd.DataFrame({"w": np.arange(len(inside)), "p": inside.astype(np.float64)})
+    head = rows.where("w >= 0").join(F.broadcast(spark.createDataFrame(ranks, "w long, p double")), "w")  # HEAD rows at most
+    rare = F.when(F.col("c") <= MOST, F.get(F.array(*(F.lit(float(x)) for x in model.d)), F.col("c").cast("int"))).otherwise(1.0) * F.col("c") / max(model.rare, 1.0)
+    rest = rows.where("w < 0").join(uni.select(F.col("h").alias("w"), F.col("n").alias("c")), "w").withColumn("p", F.log10(rare))
+    rows = head.select("v", "w", "n", "p").unionByName(rest.select("v", "w", "n", "p"))
+    rows = table(spark, rows.withColumn("p", F.when(frequent, F.col("p")).otherwise(F.col("p") + after)), "lower")
+
+    less = F.when(F.col("n") <= MOST, F.get(d, F.col("n").cast("int"))).otherwise(1.0) * F.col("n")
+    sums = rows.groupBy("v").agg(F.sum("n").alias("all"), F.sum(less).alias("seen"), F.sum(F.col("n") - 0.5).alias("half"), F.sum(F.pow(F.lit(10.0), F.col("p"))).alias("low"))
+    sums = sums.withColumn("none", F.col("seen") > F.col("all") * (1 - 1e-9))  # no small counts, so nothing was taken off
+    left = 1 - F.when(F.col("none"), F.col("half")).otherwise(F.col("seen")) / F.col("all")
+    sums = table(spark, sums.select("v", "all", "none", F.log10(left / F.greatest(1 - F.col("low"), F.lit(1e-12))).alias("alpha")), "alphas")
+    met = rows.where(frequent).join(F.broadcast(sums.where(frequent)), "v").unionByName(rows.where(~frequent).join(sums.where(~frequent), "v").select("v", "w", "n", "p", "all", "none", "alpha"))
+    own = F.when(F.col("none"), F.col("n") - 0.5).otherwise(less) / F.col("all")
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": pair_key(_code(b["v"]), _code(b["w"])).view(np.int64), "gain": b["gain"]})
+
+    gains = map_batches(met.select("v", "w", (F.log10(own) - F.col("alpha") - F.col("p")).alias("gain")), keyed, "key long, gain double")
+    return gains, sums.select("v", "alpha")
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model, uni: DataFrame, held_out: Column, gains: DataFrame, alphas: DataFrame) -> DataFrame:
     """One row for each row of docs: see op3_katz()."""
+    own_alpha = np.zeros(HEAD + 1)
+    for r in alphas.where("v >= 0").toLocalIterator():  # HEAD + 1 at most
+        own_alpha[r["v"]] = r["alpha"]
+    alpha_of = spark.sparkContext.broadcast(own_alpha)
+    uni = uni.join(alphas.where("v < 0").withColumnRenamed("v", "h"), "h", "left")
     shared = spark.sparkContext.broadcast(model)  # (CLASSES + 2)^2 floats and HEAD counts at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,34 +293,43 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, uni: DataFrame, he
         codes = _Codes({int(h): i for i, h in enumerate(m.head)})
         base, rare = m.base(m.counts), m.in_rare(m.counts)
         rare[:CLASSES] = 0.0
+        al = alpha_of.value
         for b in batches:
             for i in range(0, len(b), 250):
                 part = b.iloc[i : i + 250]
-                out = [one(codes.of(t), m, base, rare) for t in part["text"]]
-                f = pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "h", "n"])
+                out = [one(codes.of(t), m, base, rare, al) for t in part["text"]]
+                f = pd.DataFrame(out, columns=["n_tokens", "known", "base", "score", "h", "n", "key", "k"])
                 f.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield f
 
-    def one(c: np.ndarray, m: Model, base: np.ndarray, rare: np.ndarray) -> tuple:
+    def one(c: np.ndarray, m: Model, base: np.ndarray, rare: np.ndarray, al: np.ndarray) -> tuple:
         k = classes_of(c)
-        p = float(m.log_p[np.concatenate([[CLASSES + 1], k[:-1]]), k].sum(dtype=np.float64))
+        before = np.concatenate([[CLASSES + 1], k[:-1]])
+        p = float(m.log_p[before, k].sum(dtype=np.float64))
+        # The alphas: of frequent contexts before rare tokens, of rare contexts before any.
+        start = before[(before > 0) & (k == 0)]
+        p += float(al[np.where(start > CLASSES, START, start - 1)].sum())
+        key, times = np.unique(pair_key(*rare_pairs(c)), return_counts=True)
         own = c < np.uint64(_TOP)
         ranks = c[own].astype(np.int64)
         h, n = np.unique(c[~own], return_counts=True)
-        return len(c), int(own.sum()), float(base[ranks].sum()), p + float(rare[ranks].sum()), h.view(np.int64), n
+        p += float(rare[ranks].sum()) + float(al[ranks[ranks >= CLASSES]].sum())
+        return len(c), int(own.sum()), float(base[ranks].sum()), p, h.view(np.int64), n, key.view(np.int64), times
 
-    scored = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, known long, base double, score double, h array<long>, n array<int>")
+    scored = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, known long, base double, score double, h array<long>, n array<int>, key array<long>, k array<int>")
     scored = table(spark, scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     words = scored.select("row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.n").alias("k"))
-    met = words.join(uni.select("h", F.col("n").alias("c")), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = words.join(uni.select("h", F.col("n").alias("c"), "alpha"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     discount = F.get(F.array(*(F.lit(float(x)) for x in model.d)), F.least("c", F.lit(MOST)).cast("int"))
     inside = F.when(F.col("c") == 0, F.lit(model.unknown)).otherwise(F.when(F.col("c") <= MOST, discount).otherwise(1.0) * F.col("c") / max(model.rare, 1.0))
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
         F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (model.n + 0.5 * (model.v + 1)))).alias("base2"),
-        F.sum(F.col("k") * F.log10(inside)).alias("score2"),
+        F.sum(F.col("k") * (F.log10(inside) + F.coalesce("alpha", F.lit(0.0)))).alias("score2"),
     )
-    out = scored.drop("h", "n").join(sums, "row", "left")
+    pairs = scored.select("row", F.explode(F.arrays_zip("key", "k")).alias("x")).select("row", F.col("x.key").alias("key"), F.col("x.k").alias("k"))
+    seen = pairs.join(gains, "key").groupBy("row").agg(F.sum(F.col("k") * F.col("gain")).alias("score3"))
+    out = scored.drop("h", "n", "key", "k").join(sums, "row", "left").join(seen, "row", "left").withColumn("score", F.col("score") + F.coalesce("score3", F.lit(0.0)))
 
     def plus(a: str, b: str) -> Column:
         return F.col(a) + F.coalesce(F.col(b), F.lit(0))
@@ -246,4 +341,5 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 5) == 1
     model, uni = fit(spark, docs.where(~held_out))
-    return score(spark, docs, model, uni, held_out)
+    gains, alphas = word_bigrams(spark, docs.where(~held_out), model, uni)
+    return score(spark, docs, model, uni, held_out, gains, alphas)

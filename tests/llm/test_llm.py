@@ -176,6 +176,29 @@ def test_katz_is_normalised(spark, data):
     assert (10 ** m.in_rare(counts)).sum() + 10 ** m.in_rare(np.array([0]))[0] == pytest.approx(1)
 
 
+def test_katz_knows_bigrams_of_rare_words(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(100)) for _ in range(600)]
+    texts += [f"{a} {b}" for a, b in (("qa", "qb"), ("qc", "qd")) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, uni = katz.fit(spark, docs)
+    gains, alphas = katz.word_bigrams(spark, docs, model, uni)
+    new = spark.createDataFrame([(0, "qa qb"), (1, "qa qd"), (2, "qc qd"), (3, "qc qb")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in katz.score(spark, new, model, uni, F.lit(True), gains, alphas).collect()}
+    assert got[0] > got[1] + 1 and got[2] > got[3] + 1
+    # After a rare and a frequent word, all tokens and the unknown one sum to one.
+    k, gain, alpha = katz.CLASSES, {r["key"]: r["gain"] for r in gains.collect()}, {r["v"]: r["alpha"] for r in alphas.collect()}
+    codes, inside = np.arange(len(model.counts)).astype(np.uint64), model.in_rare(np.append(model.counts[k:], 0))
+    for v in (k + 5, 5):
+        row = model.log_p[0 if v >= k else v + 1].astype(np.float64)
+        p = np.concatenate([row[1 : k + 1], row[0] + inside])
+        p[0 if v >= k else k :] += alpha[v]
+        keys = katz.pair_key(np.full(len(codes), v, np.uint64), codes).view(np.int64)
+        p[:-1] += [gain.get(int(x), 0.0) for x in keys]
+        assert (10**p).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_context_rows_without_small_counts():
     p1 = np.array([0.4, 0.3, 0.2, 0.1])
     d = katz.discounts({})
