@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -54,7 +55,31 @@ BATCH_ROWS = 500
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches of this session's Python functions, and puts this package on the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if not _held:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """So many rows go to Python at a time in what is run inside; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    _held.append(rows)
+    try:
+        yield
+    finally:
+        _held.pop()
+        spark.conf.set(key, before)
+
+
+_held: list[int] = []
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that no DataFrame refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release() -> None:

@@ -167,44 +167,66 @@ def test_katz(spark, data, edge):
             assert got.loc[got["held_out"], "score"].sum() > got.loc[got["held_out"], "base_score"].sum()
 
 
-def test_katz_is_normalised(spark, data):
-    docs = common.read(spark, data, "documents")
-    m, uni = katz.fit(spark, docs)
-    p = 10.0 ** m.log_p.astype(np.float64)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    counts = uni.toPandas()["n"].sort_values(ascending=False).to_numpy()[katz.CLASSES :]
-    assert (10 ** m.in_rare(counts)).sum() + 10 ** m.in_rare(np.array([0]))[0] == pytest.approx(1)
-
-
-def test_katz_knows_bigrams_of_rare_words(spark):
-    rnd = random.Random(12)
-    words = [f"w{i}" for i in range(5000)]
-    texts = [" ".join(rnd.choice(words) for _ in range(100)) for _ in range(600)]
-    texts += [f"{a} {b}" for a, b in (("qa", "qb"), ("qc", "qd")) for _ in range(4)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model, uni = katz.fit(spark, docs)
-    gains, alphas = katz.word_bigrams(spark, docs, model, uni)
-    new = spark.createDataFrame([(0, "qa qb"), (1, "qa qd"), (2, "qc qd"), (3, "qc qb")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in katz.score(spark, new, model, uni, F.lit(True), gains, alphas).collect()}
-    assert got[0] > got[1] + 1 and got[2] > got[3] + 1
-    # After a rare and a frequent word, all tokens and the unknown one sum to one.
-    k, gain, alpha = katz.CLASSES, {r["key"]: r["gain"] for r in gains.collect()}, {r["v"]: r["alpha"] for r in alphas.collect()}
-    codes, inside = np.arange(len(model.counts)).astype(np.uint64), model.in_rare(np.append(model.counts[k:], 0))
-    for v in (k + 5, 5):
-        row = model.log_p[0 if v >= k else v + 1].astype(np.float64)
-        p = np.concatenate([row[1 : k + 1], row[0] + inside])
-        p[0 if v >= k else k :] += alpha[v]
-        keys = katz.pair_key(np.full(len(codes), v, np.uint64), codes).view(np.int64)
-        p[:-1] += [gain.get(int(x), 0.0) for x in keys]
-        assert (10**p).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_context_rows_without_small_counts():
-    p1 = np.array([0.4, 0.3, 0.2, 0.1])
-    d = katz.discounts({})
-    for cur, n in (([1], [100]), ([0, 1, 2, 3], [7, 8, 9, 10]), ([2, 3], [1, 1])):
-        p = katz.context_row(np.array(cur), np.array(n), p1, d)
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
+def katz_by_hand(texts, train):
+    """The model's definition with dictionaries: log10 P(w | v) as a function, and the tokens of each text."""
+    tokens = [[x.translate(common._TO_LOWER) for x in WORD.findall(t or "")] + ["\n"] for t in texts]
+    c, pairs, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, t in zip(tokens, train, strict=True):
+        if t:
+            c.update(w)
+            pairs.update(zip([None, *w], w, strict=False))
+            ctx.update([None, *w[:-1]])
+    d1, d2 = (katz.discounts(collections.Counter(x.values())) for x in (c, pairs))
+    cut = lambda n, d: n * (d[n] if n <= katz.MOST else 1.0)
+    n = sum(c.values())
+    off = sum(k - cut(k, d1) for k in c.values())
+    total = n if off else n + 0.5
+    low = lambda w: cut(c[w], d1) / total if c[w] else (off or 0.5) / total
+    seen, below = collections.Counter(), collections.Counter()
+    for (v, w), k in pairs.items():
+        seen[v] += cut(k, d2)
+        below[v] += low(w)
+
+    def p(v, w):
+        if pairs[v, w]:
+            return cut(pairs[v, w], d2) / (ctx[v] + 0.5)
+        return low(w) * ((1 - seen[v] / (ctx[v] + 0.5)) / (1 - below[v]) if ctx[v] else 1.0)
+
+    return p, tokens, c
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 2000, "heavy": 20}])
+def test_katz_scores(spark, data, edge, sizes, monkeypatch):
+    """Every score is the definition's, whatever the buckets and the heavy contexts."""
+    for d in (data, edge):
+        docs = common.read(spark, d, "documents")
+        rows = docs.select("doc_id", "text").collect()
+        train = [zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 != 1 for r in rows]
+        p, tokens, _ = katz_by_hand([r["text"] for r in rows], train)
+        want = sorted((-1 if r["doc_id"] is None else r["doc_id"], sum(math.log10(p(v, x)) for v, x in zip([None, *w], w, strict=False))) for r, w in zip(rows, tokens, strict=True))
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in katz.Katz(spark, docs, common.crc_mod(F.col("doc_id"), 5) != 1, **sizes).scores().collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-6)
+
+
+def test_katz_is_normalised(spark, edge):
+    """After any word, all tokens of training and the unknown one sum to one; so does what a bucket of the stored table gives."""
+    docs = common.read(spark, edge, "documents")
+    p, _, c = katz_by_hand([r["text"] for r in docs.select("text").collect()], [True] * docs.count())
+    for v in [None, "word1", "w5", "one", "a", "nowhere"]:
+        assert sum(p(v, w) for w in [*c, "nowhere"]) == pytest.approx(1)
+    m = katz.Katz(spark, docs, F.lit(True))
+    stored = m.bigrams.where("part >= 0").select("data").collect()
+    assert stored
+    heavy = katz.heavy_codes(m.model.uni, katz.HEAVY)
+    for r in stored[:20]:
+        ctx, runs, w, n0, n = katz.unpack(bytes(r["data"]), np.int64, np.uint32, np.int64, np.int64, np.int64)
+        log_p, alpha = m.model.log_p(ctx, runs, w, n0, n)
+        low = m.model.uni.p(katz.counts_of(w, n0, m.model.uni))
+        ends = np.cumsum(runs.astype(np.int64))
+        for v, a, x, y in zip(np.cumsum(ctx), alpha, ends - runs, ends, strict=True):
+            if v >= heavy and v != katz.START:
+                assert (10 ** log_p[x:y]).sum() + a * (1 - low[x:y].sum()) == pytest.approx(1)
 
 
 def test_packing_round_trip(spark, data, edge):
