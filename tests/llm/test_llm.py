@@ -143,6 +143,27 @@ def test_toxicity_learns(spark, tmp_path):
     got = toxicity.score(docs, scorer).join(lab, "doc_id").where(held).toPandas()
     assert ((got["score"] >= 0.3) == (got["toxic"] == 1)).mean() > 0.95
     assert b"imbecile" in scorer.toxic and b"imbecile" not in scorer.ordinary
+    # It is the two dictionaries that tell: with the ordinary one on both sides nothing is saved and nothing told apart.
+    off = toxicity.Scorer(scorer.ordinary, scorer.ordinary, scorer.mean, scorer.scale, scorer.weights)
+    blind = toxicity.score(docs, off).join(lab, "doc_id").where(held).toPandas()
+    assert abs(blind.loc[blind["toxic"] == 1, "score"].mean() - blind.loc[blind["toxic"] == 0, "score"].mean()) < 0.02
+
+
+def test_toxic_samples_are_toxic_documents_words():
+    assert toxicity.sample_of("Such a Wretched, plain wretchedness! " + "x" * 50, {b"wretc"}) == b" wretched  wretchedness "
+    assert toxicity.sample_of(None, {b"wretc"}) == b""
+    a, b = toxicity.dictionaries([b" plain words here "] * 3, [])
+    assert a == b
+    a, b = toxicity.dictionaries([b" plain words here "] * 3, [b" wretched "])
+    assert len(b) > len(a) and b.endswith(a)
+
+
+def test_one_row_a_label(spark):
+    """Documents that repeat a labelled id give one row to learn from."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other words here")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    s = toxicity.train(spark, docs, lab, F.lit(False))
+    assert toxicity.score(docs, s).count() == 51
 
 
 def test_toxicity_of_one_kind_is_constant(spark):
@@ -331,6 +352,14 @@ HTML = [
     ("<div class=ad>left open<article><p>kept</p></article>", "kept"),
     ("<body><div class='page sidebar-left'><p>all there is</p></div>", "all there is"),
     ("<body><div class='layout has-sidebar'><p>text</p><div class='widget'>w</div></div>", "text"),
+    # Names that only hint at something else: density decides.
+    ("<article><p>" + "real text " * 30 + "</p><section id='discussion'><p>" + "more text " * 30 + "</p></section></article>", ("real text " * 30).strip() + "\n" + ("more text " * 30).strip()),
+    ("<article><p>" + "real text " * 30 + "</p><div class='notice'><p>we use cookies</p></div><p>end</p></article>", ("real text " * 30).strip() + "\nend"),
+    ("<article><p>" + "real text " * 30 + "</p><div class='related'>" + "<p><a href=x>some other article</a></p>" * 30 + "</div></article>", ("real text " * 30).strip()),
+    # Neither a root nor names: surge and dive points decide.
+    ("<div><a>Home</a><a>News</a></div><table></table><form></form><div><p>" + "real text " * 30 + "</p><p>short</p></div><form></form><div>all rights reserved</div>", ("real text " * 30).strip() + "\nshort"),
+    # A root that holds next to nothing isn't one.
+    ("<main><p>Loading</p></main><div><p>" + "real text " * 30 + "</p></div>", ("real text " * 30).strip()),
     ("", ""),
     (None, ""),
     ("plain &nbsp; text", "plain text"),
@@ -344,6 +373,28 @@ def test_html(html, want):
     assert html_text.main_text(html) == want
 
 
+def test_html_density_decides(monkeypatch):
+    """With the window sums switched off other texts come out."""
+    want = [html_text.main_text(h) for h, _ in HTML]
+    monkeypatch.setattr(html_text, "stretches", lambda lines: [(0, len(lines), 1)] if lines else [])
+    assert sum(html_text.main_text(h) != w for (h, _), w in zip(HTML, want, strict=True)) >= 4
+
+
+BROKEN = {
+    "unclosed": "<div>" * 20_000 + "</span></p>" * 20_000, "no end": "<a " * 200_000, "one end": "<a " * 200_000 + ">", "quotes": "<a \">\"" * 50_000, "paragraphs": "<p><div>" * 20_000,
+    "roots": "<nav>" * 20_000 + "<article>" * 20_000, "signs": "<" * 300_000, "attributes": "<p " + "a " * 200_000 + ">x", "tables": "<p><div>" + "<table><p>" * 30_000, "long": "<p>" + "word " * 400_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_html_takes_linear_time(name):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(BROKEN[name])
+    assert time.perf_counter() - began < 20  # about a second; hours, if it grew with the square
+
+
 def test_html_pages(spark, data):
     import html as h
     import re
@@ -548,7 +599,12 @@ def test_pipeline_stages(spark, data):
     mixed = common.table(spark, corpus_pipeline.mixture(spark, docs, data), "test-mixing")
     assert mixed.columns == columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     packed = corpus_pipeline.packed(spark, mixed, data)
-    assert packed.agg(F.sum("length")).first()[0] == mixed.select(F.sum(F.lit(0))).first()[0] or packed.count() > 0
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sum(len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mixed.select("text").collect())
+    assert packed.agg(F.sum("length")).first()[0] == want
 
 
 def test_pipeline_drops_what_the_operator_rejects(spark, monkeypatch):
