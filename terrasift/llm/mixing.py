@@ -93,7 +93,9 @@ def mix(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ("doc_id"
     left, then the one other document that brings the sum nearest to the target. No document is taken more than
     ceil(cap) times.
     """
-    sized = docs.select(*carry, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
+    own = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h")]
+    light = set(carry) <= {"doc_id", "source"}  # then texts are read once; else once more, for the columns to carry
+    sized = table(spark, docs.select(*(carry if light else ()), *own), "sizes")
     known, k = targets(spark, sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), schedules, share, cap)
     known = table(spark, known, "targets")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0).cast("int")
@@ -102,15 +104,16 @@ def mix(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ("doc_id"
 
     def streamed(rows: DataFrame) -> DataFrame:
         """Each document's first word's place in its source's stream, `_at`: hashed buckets of about sqrt(n) documents, sums of buckets, then sums inside."""
-        rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size")))
         if k <= BROADCAST_SOURCES:
             rows = rows.join(F.broadcast(facts), F.col("_source").eqNullSafe(F.col("_ks")))
         else:
             salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             rows = rows.withColumn("_s", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int")).join(salted, F.col("_source").eqNullSafe(F.col("_ks")) & (F.col("_s") == F.col("_salt"))).drop("_s", "_salt")
-        return rows.drop("_ks", "_source").withColumn("_bucket", F.pmod(F.col("_h"), F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long")))
+        # Texts without words take no place in a stream, so those of equal hash may lie in any bucket.
+        spread = F.when(F.col("_size") > 0, F.col("_h")).otherwise(F.monotonically_increasing_id())
+        return rows.drop("_ks", "_source").withColumn("_bucket", F.pmod(spread, F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long")))
 
-    thin = streamed(sized.select("_id", "_source", "_size"))
+    thin = streamed(sized.select("_id", "_source", "_size", "_h"))
     before = thin.groupBy("_rank", "_bucket").agg(F.sum("_size").alias("_sum"))
     before = table(spark, before.select("_rank", "_bucket", (F.sum("_sum").over(W.partitionBy("_rank").orderBy("_bucket")) - F.col("_sum")).alias("_before")), "buckets")
     inside = W.partitionBy("_rank", "_bucket").orderBy("_h", "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -130,7 +133,7 @@ def mix(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ("doc_id"
     last = fits.join(other, F.col("_fr") == F.col("_or"), "left").select("_fr", "_fit", F.col("_o.at").alias("_oat"), F.coalesce(F.col("_o.size"), F.lit(0)).alias("_osize"))
     last = table(spark, last, "last")
 
-    rows = placed(streamed(sized)).join(few(last), F.col("_rank") == F.col("_fr"))
+    rows = placed(streamed(sized if light else docs.select(*carry, *own))).join(few(last), F.col("_rank") == F.col("_fr"))
     chosen = F.coalesce(F.col("_at") == F.col("_oat"), F.lit(False)) & (F.col("_size") > 0)
     fit = (end <= F.col("rest")) & (F.col("_size") > 0)
     times = F.when(F.col("_size") > 0, F.col("whole") + (fit | chosen).cast("int")).otherwise(0)
