@@ -128,9 +128,10 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, rounds: int = 30,
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int) -> DataFrame:
     """text and label (0 or 1) of at most `sample` labelled rows that aren't held out, by the hashes of their ids."""
-    few = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("_id").isNotNull() & F.col("label").isin(0, 1))
+    few = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("_id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     few = few.withColumn("doc_id", F.col("_id")).where(~held_out).drop("doc_id").orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row a label
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int = SAMPLE) -> Machine:
