@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import attach, map_batches, read, scratch_path, table
 
-#: An archive takes records until it holds so many bytes of payload; the normaliser inflates by so many bytes at a time.
-ARCHIVE_BYTES, BLOCK = 64 << 20, 1 << 18
+#: An archive takes records until it holds so many bytes of payload; the normaliser inflates by so many bytes at a time; tasks that read archives at most.
+ARCHIVE_BYTES, BLOCK, READ_TASKS = 64 << 20, 1 << 18, 20_000
 #: Records have a date fixed by a parameter, so that reruns write the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 
@@ -75,17 +75,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 def _inflated(source: BinaryIO) -> Iterator[bytes]:
     """The inflated bytes of one or more gzip streams, once, a block at a time."""
-    z = zlib.decompressobj(31)
+    z, begun = zlib.decompressobj(31), False
     while chunk := source.read(BLOCK):
         while chunk:
+            begun = True
             yield z.decompress(chunk, BLOCK)
-            while z.unconsumed_tail:
+            while not z.eof and z.unconsumed_tail:
                 yield z.decompress(z.unconsumed_tail, BLOCK)
+            while not z.eof and (more := z.decompress(b"", BLOCK)):
+                yield more
             chunk = z.unused_data
-            if z.eof:
+            if z.eof and chunk:
                 z = zlib.decompressobj(31)
-    if rest := z.flush():
-        yield rest
+    if begun and not z.eof:
+        raise ValueError("the stream ends before its gzip trailer")
 
 
 def records_of(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -213,5 +216,5 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     archives = table(spark, write_archives(with_roles(read(spark, sf_dir, "pages")), folder), "archives")
-    # An archive is a task's work at least: the rows that name them are few and small, so they are dealt out.
-    return read_archives(archives.repartition(max(1, archives.count())), folder).drop("url")
+    # The rows that name archives are few and small, so they are dealt out: an archive a task, several if there are many.
+    return read_archives(archives.repartition(min(max(1, archives.count()), READ_TASKS)), folder).drop("url")
