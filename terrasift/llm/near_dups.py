@@ -445,7 +445,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Near copies share 0.8 or more of their five-word shingles. They are proposed by SimHash fingerprints over distinct
     words, in which copies with scattered changes differ by about four bits of 64, and by bands of minima over the
     shingles, which find them wherever the changes lie. Signatures of the shingles drop most of what is proposed, and
-    the shingles themselves decide. Rows without doc_id all stay; of rows with one doc_id one stays.
+    the shingles themselves decide. Rows without doc_id all stay. Documents are known by their ids: where an id stays, so
+    does one row of each of its texts.
     """
     seen = table(spark, marked(docs.where(F.col("doc_id").isNotNull())), "marks")
     codes = [f"c{i}" for i in range(PRINTS)]
@@ -455,7 +456,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stay = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_anti").select(F.col("node").alias("_stay"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.struct("*").alias("_row"))
     kept = rows.where("_id IS NOT NULL").join(stay.hint("merge"), F.col("_id") == F.col("_stay"))
-    one = kept.withColumn("_r", F.lag(F.lit(1)).over(W.partitionBy("_stay").orderBy("_x"))).where("_r IS NULL")
+    one = kept.withColumn("_r", F.lag(F.lit(1)).over(W.partitionBy("_stay", "_x").orderBy("_stay"))).where("_r IS NULL")
     return one.select("_row.*").unionByName(rows.where("_id IS NULL").select("_row.*"))
 
 

@@ -342,6 +342,9 @@ def test_warc_normaliser_round_trip():
     assert [zlib.decompress(data[x["offset"] : x["offset"] + x["length"]], 31) for x in index] == raws
     with pytest.raises(ValueError, match="inside a record"):
         warc.normalise(io.BytesIO(zlib.compress(raws[2][:100], wbits=31)), io.BytesIO())
+    with pytest.raises(ValueError, match="gzip trailer"):  # cut at a record's border
+        warc.normalise(io.BytesIO(zlib.compress(b"".join(raws[:2]), wbits=31)[:-8]), io.BytesIO())
+    assert len(warc.normalise(io.BytesIO(b"".join(zlib.compress(r, wbits=31) for r in raws)), io.BytesIO())) == len(raws)
 
 
 HTML = [
@@ -588,6 +591,13 @@ def test_sketches_use_no_python(spark, data):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_distinct_texts_of_an_id_stay(spark):
+    rnd = random.Random(2)
+    a, b, c = (" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(80)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (1, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in near_dups.deduplicate(spark, docs).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
 def test_pipeline_stages(spark, data):
     docs = common.read(spark, data, "documents")
     columns, before = docs.columns, docs.count()
