@@ -1,7 +1,8 @@
 """Cell frames: a raster is a DataFrame (r, c, channels ...), all channels of a cell in one row.
 
-Focal operators are separable: a window along the rows, then one along the columns. Both windows have a partition key,
-so no task holds more than a line of the raster, and shifts past an edge repeat the edge's value.
+Focal operators are separable: along the rows first, then along the columns. Both have a partition key, so no group is
+more than a line of the raster. Kernels are NumPy convolutions of a line, whose time grows with the line's length and the
+kernel's; windows of SQL would need an expression for each of the kernel's places.
 """
 
 from __future__ import annotations
@@ -9,9 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .ship import ship
 
 SIDE = 32
 
@@ -30,16 +36,6 @@ def along(axis: str) -> W:
     return W.partitionBy("r").orderBy("c") if axis == "x" else W.partitionBy("c").orderBy("r")
 
 
-def shifted(v: Column, k: int, axis: str) -> Column:
-    """The value k cells on; beyond the edge, the edge's."""
-    w = along(axis)
-    if k < 0:
-        return F.coalesce(F.lag(v, -k).over(w), F.first(v).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    if k > 0:
-        return F.coalesce(F.lead(v, k).over(w), F.last(v).over(w.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    return v
-
-
 def gauss_kernel(sigma: float) -> list[tuple[int, float]]:
     h = int(4 * sigma + 0.5)
     raw = [(k, math.exp(-0.5 * (k / sigma) ** 2)) for k in range(-h, h + 1)]
@@ -51,18 +47,35 @@ def box_kernel(size: int) -> list[tuple[int, float]]:
     return [(k, 1 / size) for k in range(-(size // 2), size // 2 + 1)]
 
 
-def _line(col: str, kernel: list[tuple[int, float]], axis: str) -> Column:
-    terms = [shifted(F.col(col), k, axis) * x for k, x in kernel]
-    return sum(terms[1:], terms[0])
+def by_lines(df: DataFrame, axis: str, new: list[str], run: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
+    """df with the columns `new` (doubles), which run() makes of each line in order: a group is one line of the raster."""
+    ship(df.sparkSession)
+    key, place = ("r", "c") if axis == "x" else ("c", "r")
+    schema = StructType([*(f for f in df.schema if f.name not in new), *(StructField(n, DoubleType()) for n in new)])
+
+    def one(line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values(place, ignore_index=True)
+        return line.assign(**run(line))[schema.names]
+
+    return df.groupBy(key).applyInPandas(one, schema)
+
+
+def _kernels(df: DataFrame, specs: list[tuple[str, list[tuple[int, float]], str]], axis: str) -> DataFrame:
+    plans = [(col, np.array([w for _, w in kernel]), out) for col, kernel, out in specs]
+
+    def run(line: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {out: np.convolve(np.pad(line[col].to_numpy(float), len(w) // 2, "edge"), w, "valid") for col, w, out in plans}
+
+    return by_lines(df, axis, [out for _, _, out in plans], run)
 
 
 def convolve_all(df: DataFrame, specs: list[tuple[str, list[tuple[int, float]], str]]) -> DataFrame:
-    """For each (column, kernel, out): the column under the kernel along both axes.
+    """For each (column, symmetric kernel, out): the column under the kernel along both axes; the edge's value goes on beyond it.
 
-    All windows along the rows come first and then all along the columns, so that any number of them takes two shuffles.
+    All lines along the rows come first and then all along the columns, so that any number of them takes two shuffles.
     """
-    df = df.withColumns({f"_line_{i}": _line(col, kernel, "x") for i, (col, kernel, _) in enumerate(specs)})
-    df = df.withColumns({out: _line(f"_line_{i}", kernel, "y") for i, (_, kernel, out) in enumerate(specs)})
+    df = _kernels(df, [(col, kernel, f"_line_{i}") for i, (col, kernel, _) in enumerate(specs)], "x")
+    df = _kernels(df, [(f"_line_{i}", kernel, out) for i, (_, kernel, out) in enumerate(specs)], "y")
     return df.drop(*(f"_line_{i}" for i in range(len(specs))))
 
 
@@ -98,3 +111,38 @@ def odd_pixels(metres: float, least: int, resolution: float = 1.0) -> int:
 
 def relief_sigma(scale: float, resolution: float = 1.0) -> float:
     return max(0.7, scale / (2.355 * resolution))
+
+
+def row_distances(g2: np.ndarray) -> np.ndarray:
+    """min over j of (i - j)^2 + g2[j] for each i, by the lower envelope of the parabolas (Felzenszwalb and Huttenlocher, 2012); linear time."""
+    n, out = len(g2), np.full(len(g2), np.inf)
+    at: list[int] = []  # parabolas of the envelope, and where each begins
+    begins: list[float] = []
+    for j in np.flatnonzero(np.isfinite(g2)):
+        start = -np.inf
+        while at:
+            k = at[-1]
+            start = (g2[j] + j * j - g2[k] - k * k) / (2 * (j - k))
+            if start > begins[-1]:
+                break
+            at.pop()
+            begins.pop()
+            start = -np.inf
+        at.append(int(j))
+        begins.append(start)
+    if at:
+        x = np.arange(n)
+        own = np.array(at)[np.searchsorted(np.array(begins), x, side="right") - 1]
+        out = (x - own) ** 2 + g2[own]
+    return out
+
+
+def nearest_along(known: np.ndarray) -> np.ndarray:
+    """For each place the nearest place that is known (the earlier of two as near), -1 if there is none."""
+    n = len(known)
+    x = np.arange(n)
+    before = np.maximum.accumulate(np.where(known, x, -1))
+    after = n - 1 - np.maximum.accumulate(np.where(known[::-1], x, -1))[::-1]
+    after = np.where(after >= n, -1, after)
+    far = after < 0
+    return np.where((before >= 0) & (far | (x - before <= after - x)), before, after)

@@ -140,16 +140,21 @@ def radial_profile(patch: DataFrame, side: int, bins: int = 16) -> DataFrame:
     return patch.withColumn("ring", F.floor(radius * bins)).where(F.col("ring") < bins).groupBy("ring").agg(F.avg("v").alias("mean"))
 
 
-def moments(patch: DataFrame, side: int) -> DataFrame:
-    """Eigenvalues, trace, determinant of the second moments about the weighted centre, with weights |v| + 1e-3."""
+def moments(patch: DataFrame) -> DataFrame:
+    """Eight numbers about the weighted centre, in cells, with weights |v| + 1e-3: eigenvalues of the second moments (the smaller
+    first), trace, determinant, ratio; means of weighted third and fourth powers over the whole weight; the mean weight."""
     w = F.abs("v") + 1e-3
     centre = patch.agg(F.sum(w).alias("w"), (F.sum(w * F.col("r")) / F.sum(w)).alias("my"), (F.sum(w * F.col("c")) / F.sum(w)).alias("mx"))
     d = patch.crossJoin(F.broadcast(centre))
-    y, x = (F.col("r") - F.col("my")) / side, (F.col("c") - F.col("mx")) / side
-    m = d.agg((F.sum(w * x * x) / F.first("w")).alias("xx"), (F.sum(w * x * y) / F.first("w")).alias("xy"), (F.sum(w * y * y) / F.first("w")).alias("yy"))
+    y, x, whole = F.col("r") - F.col("my"), F.col("c") - F.col("mx"), F.first("w")
+    m = d.agg(
+        (F.sum(w * x * x) / whole).alias("xx"), (F.sum(w * x * y) / whole).alias("xy"), (F.sum(w * y * y) / whole).alias("yy"),
+        (F.avg((x * x * x + y * y * y) * w) / whole).alias("skew"), (F.avg((x * x * x * x + y * y * y * y) * w) / whole).alias("kurtosis"), F.avg(w).alias("weight"),
+    )
     trace, det = F.col("xx") + F.col("yy"), F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     root = F.sqrt(F.greatest(trace * trace / 4 - det, F.lit(0.0)))
-    return m.select((trace / 2 + root).alias("major"), (trace / 2 - root).alias("minor"), trace.alias("trace"), det.alias("det"))
+    minor, major = trace / 2 - root, trace / 2 + root
+    return m.select(minor.alias("minor"), major.alias("major"), trace.alias("trace"), det.alias("det"), (major / F.greatest(minor, F.lit(1e-6))).alias("ratio"), "skew", "kurtosis", "weight")
 
 
 def _patch_descriptor(z: np.ndarray) -> np.ndarray:

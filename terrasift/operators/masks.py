@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import grid, stats
 from ..functions.durable import durable
@@ -86,7 +89,7 @@ def component_stats(labelled: DataFrame, values: DataFrame, col: str) -> DataFra
 
 def resegment(cells: DataFrame, mask: str, core: str, most: int, side: int) -> DataFrame:
     """Components of the mask; if one has more than `most` cells, those of the core mask instead."""
-    first = components(cells, mask, side).persist()
+    first = components(cells, mask, side)  # written already
     if first.groupBy("label").count().where(F.col("count") > most).isEmpty():
         return first
     return components(cells, core, side)
@@ -103,18 +106,32 @@ def descriptor(labelled: DataFrame, channels: DataFrame, names: list[str]) -> Da
 MODERN = {"building": (1.00, 8.0), "road": (0.98, 7.0), "track": (0.90, 5.0), "path": (0.55, 3.5), "boundary": (0.65, 3.0), "water": (0.88, 5.0)}
 
 
-def modern_penalty(cells: DataFrame, marks: DataFrame, reach: int = 40) -> DataFrame:
+def modern_penalty(cells: DataFrame, marks: DataFrame) -> DataFrame:
     """r, c, penalty: the largest weight * exp(-distance / decay) over the kinds marked at (r, c, kind).
 
-    A kind's penalty beyond `reach` decays to less than 1e-2 of its weight and counts as 0; marks are spread to the
-    cells around them, so there is no join of all cells with all marks.
+    Exact Euclidean distances in two passes along the lines, at any distance: to the nearest mark in each column, then
+    the lower envelope along each row. cells must fill a rectangle; marks outside it don't count.
     """
-    table = F.create_map(*(F.lit(x) for k, (w, d) in MODERN.items() for x in (k, F.array(F.lit(w), F.lit(d)))))
-    off = F.sequence(F.lit(-reach), F.lit(reach)).cast("array<long>")
-    spread = marks.select("r", "c", "kind").distinct().withColumn("_dr", F.explode(off)).withColumn("_dc", F.explode(off))
-    far = F.sqrt(F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc"))
-    spread = spread.where(far <= reach).select((F.col("r") + F.col("_dr")).alias("r"), (F.col("c") + F.col("_dc")).alias("c"), (table[F.col("kind")][0] * F.exp(-far / table[F.col("kind")][1])).alias("p"))
-    return cells.select("r", "c").join(spread.groupBy("r", "c").agg(F.max("p").alias("p")), ["r", "c"], "left").select("r", "c", F.coalesce("p", F.lit(0.0)).alias("penalty"))
+    known = list(MODERN)
+    marked = marks.groupBy("r", "c").agg(*(F.max((F.col("kind") == k).cast("int")).alias(f"_m{i}") for i, k in enumerate(known)))
+    df = cells.select("r", "c").join(marked, ["r", "c"], "left").na.fill(0)
+
+    def down(line: pd.DataFrame) -> dict[str, np.ndarray]:
+        out, rows = {}, line["r"].to_numpy(float)
+        for i in range(len(known)):
+            at = grid.nearest_along(line[f"_m{i}"].to_numpy() > 0)
+            out[f"_g{i}"] = np.where(at < 0, np.nan, (rows[at] - rows) ** 2)
+        return out
+
+    def across(line: pd.DataFrame) -> dict[str, np.ndarray]:
+        worst = np.zeros(len(line))
+        for i, k in enumerate(known):
+            g2 = line[f"_g{i}"].to_numpy(float)
+            worst = np.maximum(worst, MODERN[k][0] * np.exp(-np.sqrt(grid.row_distances(np.where(np.isnan(g2), np.inf, g2))) / MODERN[k][1]))
+        return {"penalty": worst}
+
+    df = grid.by_lines(df, "y", [f"_g{i}" for i in range(len(known))], down)
+    return grid.by_lines(df, "x", ["penalty"], across).select("r", "c", "penalty")
 
 
 def hough(cells: DataFrame, mask: str, least: int, gap: int = 3, angles: int = 90) -> DataFrame:
@@ -123,11 +140,34 @@ def hough(cells: DataFrame, mask: str, least: int, gap: int = 3, angles: int = 9
     A standard Hough transform: each cell votes for a line at every angle; along a line, a step longer than `gap` ends
     a run; runs of `least` cells or more are lines.
     """
-    from pyspark.sql import Window as W
-
     t = F.col("a") * (3.141592653589793 / angles)
     votes = cells.where(mask).select("r", "c", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("a"))
     votes = votes.select("a", F.rint(F.col("c") * F.cos(t) + F.col("r") * F.sin(t)).cast("long").alias("rho"), F.rint(-F.col("c") * F.sin(t) + F.col("r") * F.cos(t)).cast("long").alias("s"))
     w = W.partitionBy("a", "rho").orderBy("s")
     runs = votes.withColumn("_new", (F.col("s") - F.lag("s").over(w) > gap).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
     return runs.groupBy("a", "rho", "_run").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.count("*").alias("cells")).where(F.col("cells") >= least).drop("_run")
+
+
+def straight(cells: DataFrame, mask: str, least: int, gap: int, reach: int, out: str, angles: int = 90) -> DataFrame:
+    """cells with out (0/1): within `reach` of a masked cell that lies on a straight run of `least` cells' length (see hough())."""
+    t = F.col("a") * (3.141592653589793 / angles)
+    votes = cells.where(mask).select("r", "c", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("a"))
+    votes = votes.select("r", "c", "a", F.rint(F.col("c") * F.cos(t) + F.col("r") * F.sin(t)).cast("long").alias("rho"), F.rint(-F.col("c") * F.sin(t) + F.col("r") * F.cos(t)).cast("long").alias("s"))
+    w = W.partitionBy("a", "rho").orderBy("s")
+    runs = votes.withColumn("_new", (F.col("s") - F.lag("s").over(w) > gap).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
+    whole = W.partitionBy("a", "rho", "_run")
+    runs = runs.withColumn("_long", F.max("s").over(whole) - F.min("s").over(whole) + 1).withColumn("_n", F.count("*").over(whole))
+    found = runs.where((F.col("_long") >= least) & (2 * F.col("_n") >= F.col("_long"))).select("r", "c").distinct().withColumn("_on", F.lit(1))
+    df = cells.join(found, ["r", "c"], "left").withColumn("_on", F.coalesce("_on", F.lit(0)))
+    return dilate(df, "_on", 2 * reach + 1, out).drop("_on")
+
+
+def components_of_boxes(boxes: DataFrame, pad: float, side: int) -> DataFrame:
+    """r, c and the boxes' other columns: a row for each cell that a box (x0, y0, x1, y1; x along columns), widened by pad, touches."""
+
+    def span(a: str, b: str) -> Column:
+        lo, hi = F.greatest(F.lit(0), F.floor(F.col(a) - pad)), F.least(F.lit(side - 1), F.floor(F.col(b) + pad))
+        return F.when(hi >= lo, F.sequence(lo.cast("long"), hi.cast("long"))).otherwise(F.array().cast("array<long>"))
+
+    others = [c for c in boxes.columns if c not in ("x0", "y0", "x1", "y1")]
+    return boxes.withColumn("r", F.explode(span("y0", "y1"))).withColumn("c", F.explode(span("x0", "x1"))).select("r", "c", *others)

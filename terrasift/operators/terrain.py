@@ -5,34 +5,63 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid, stats
+from ..functions.durable import durable
 
-SCALES = (1.5, 2.5, 4.0)
-PATTERN = (3.0, 6.0)
+# Scales in metres of relief, pattern and line responses; how many are used grows with the level.
+RELIEF_SCALES = (1.5, 2.5, 4.0, 6.0, 10.0, 16.0, 24.0, 36.0, 54.0, 80.0)
+PATTERN_SCALES = (3.0, 6.0, 12.0, 24.0, 48.0)
+LINE_SCALES = (3.0, 5.0, 8.0, 12.0, 20.0, 32.0)
+
+
+def relief_scales(level: int) -> tuple[float, ...]:
+    return tuple(s for s in RELIEF_SCALES if s <= 10 + 8 * level)
+
+
+def pattern_scales(level: int) -> tuple[float, ...]:
+    return tuple(s for s in PATTERN_SCALES if s <= 12 + 5 * level)
+
+
+def line_scales(level: int) -> tuple[float, ...]:
+    return tuple(s for s in LINE_SCALES if s <= pattern_scales(level)[-1])
+
+
+#: Those of level 5.
+SCALES, PATTERN, LINES = relief_scales(5), pattern_scales(5), line_scales(5)
 
 
 def fill_nearest(cells: DataFrame, col: str = "v") -> DataFrame:
     """Empty cells take the nearest cell's value (ties: the first in row order).
 
-    Candidates come from a square around the empty cells that doubles until it reaches as far as the nearest found, so
-    the join is an equi-join on cells; a raster without any value is an error.
+    Two passes along the lines, whatever the holes' sizes: the nearest value in each column, then, for each empty cell of
+    a row, the nearest of what the columns have. A raster without any value is an error; cells must fill a rectangle.
     """
-    known = cells.where(F.col(col).isNotNull()).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(col).alias("_v"))
-    if known.isEmpty():
+    if cells.where(F.col(col).isNotNull()).isEmpty():
         raise ValueError("no cell has a value")
-    done = cells.where(F.col(col).isNotNull()).select("r", "c", F.col(col).alias("v"))
-    todo, reach = cells.where(F.col(col).isNull()).select("r", "c"), 2
-    while not todo.isEmpty():
-        off = F.sequence(F.lit(-reach), F.lit(reach))
-        near = todo.withColumn("_dr", F.explode(off)).withColumn("_dc", F.explode(off)).withColumn("_r", F.col("r") + F.col("_dr")).withColumn("_c", F.col("c") + F.col("_dc"))
-        d2 = F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc")
-        best = near.join(known, ["_r", "_c"]).where(d2 <= reach * reach).groupBy("r", "c").agg(F.min_by("_v", F.struct(d2.alias("d"), "_r", "_c")).alias("v")).persist()
-        done = done.unionByName(best)
-        todo, reach = todo.join(best, ["r", "c"], "left_anti").persist(), 2 * reach
-    return done
+
+    def down(line: pd.DataFrame) -> dict[str, np.ndarray]:
+        v, rows = line["v"].to_numpy(float), line["r"].to_numpy(float)
+        at = grid.nearest_along(~np.isnan(v))
+        return {"_row": np.where(at < 0, np.nan, rows[at]), "_value": np.where(at < 0, np.nan, v[at])}
+
+    def across(line: pd.DataFrame) -> dict[str, np.ndarray]:
+        row, value, v = line["_row"].to_numpy(), line["_value"].to_numpy(), line["v"].to_numpy(float).copy()
+        g2 = np.where(np.isnan(row), np.inf, (row - line["r"].to_numpy()) ** 2)
+        far = grid.row_distances(g2)
+        for i in np.flatnonzero(np.isnan(v)):
+            reach = int(far[i] ** 0.5)
+            near = np.arange(max(0, i - reach), min(len(v), i + reach + 1))
+            near = near[(near - i) ** 2 + g2[near] == far[i]]
+            v[i] = value[near[np.argmin(row[near])]]
+        return {"_filled": v}
+
+    lined = grid.by_lines(cells.select("r", "c", F.col(col).cast("double").alias("v")), "y", ["_row", "_value"], down)
+    return grid.by_lines(lined, "x", ["_filled"], across).select("r", "c", F.col("_filled").alias("v"))
 
 
 def slope(cells: DataFrame, col: str = "v") -> DataFrame:
@@ -100,7 +129,7 @@ def persistence_cutoff(level: int) -> float:
 
 def relief_channels(cells: DataFrame, level: int = 5, scales: tuple[float, ...] = SCALES) -> DataFrame:
     """max_relief (robust unit of the z, so normalised twice) and persistence (share of scales beyond the cut-off)."""
-    cells = stats.robust_units(relief_z(cells, scales), {f"z_{i}": f"u_{i}" for i in range(len(scales))})
+    cells = stats.robust_units(relief_z(cells, scales), {f"z_{i}": f"u_{i}" for i in range(len(scales))}, 0.997)
     over = [(F.col(f"z_{i}") >= persistence_cutoff(level)).cast("int") for i in range(len(scales))]
     return cells.withColumn("max_relief", reduce(F.greatest, (F.col(f"u_{i}") for i in range(len(scales))))).withColumn("persistence", sum(over[1:], over[0]) / len(scales))
 
@@ -122,6 +151,15 @@ def linear_scale(cells: DataFrame, scale: float, out: str) -> DataFrame:
     return df.withColumn(out, value).select(*cells.columns, out)
 
 
+def linear(cells: DataFrame, scales: tuple[float, ...] = LINES) -> DataFrame:
+    """linear: the strongest line response over the scales; linear_scale: the scale that has it (the first of equals; 0 without any response)."""
+    for i, s in enumerate(scales):
+        cells = linear_scale(cells, s, f"_l{i}")
+    best = F.array_max(F.array(*(F.struct(F.col(f"_l{i}").alias("v"), F.lit(-i).alias("k"), F.lit(s).alias("scale")) for i, s in enumerate(scales))))
+    cells = cells.withColumn("_b", best).withColumn("linear", stats.clip(F.col("_b.v"))).withColumn("linear_scale", F.when(F.col("_b.v") > 0, F.col("_b.scale")).otherwise(0.0))
+    return cells.drop("_b", *(f"_l{i}" for i in range(len(scales))))
+
+
 def annular(cells: DataFrame, scales: tuple[float, ...] = PATTERN) -> DataFrame:
     """Ring response: difference of nested box means, the strongest over the scales."""
     sizes = [(f"_{k}{i}", grid.odd_pixels(f * s, least)) for i, s in enumerate(scales) for k, f, least in (("o", 2.4, 5), ("i", 0.75, 3))]
@@ -167,7 +205,7 @@ def discovery(kind: str) -> Column:
 def spectral_anomaly(cells: DataFrame, col: str, sigma: float = 3.0) -> DataFrame:
     """Distance from the Gaussian background in six robust deviations, clipped."""
     df = grid.gauss(cells, col, sigma, "_g").withColumn("_off", F.abs(F.col(col) - F.col("_g")))
-    df = stats.with_facts(df, F.percentile("_off", F.lit(0.5)).alias("_mad"))
+    df = stats.with_quantiles(durable(df), {"_mad": ("_off", 0.5)})
     return df.withColumn("anomaly", stats.clip(F.col("_off") / F.greatest(6 * F.col("_mad"), F.lit(1e-6))))
 
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import stats
+from ..functions.ship import ship
 from ..functions.stats import clip
 
 # Words that tell a feature's class, in the order in which they are tried.
@@ -27,7 +34,21 @@ DEFAULT_COLOUR = "#5B6470"
 ALIASES = {"bank": "Bank", "banks": "Bank", "ditch": "Ditch", "ditches": "Ditch", "extent of feature": "Extent of Feature", "ridge and furrow alignment": "Ridge and Furrow Alignment", "ridge and furrow area": "Ridge and Furrow Area", "slope": "Slope", "scarp slope edge": "Slope", "scarp slope/edge": "Slope", "structure": "Structure", "structures": "Structure"}
 SEMANTIC = (("Ditch", ("ditch", "pit", "hollow", "pond", "cut")), ("Bank", ("bank", "mound", "barrow", "embankment", "platform", "earthwork")), ("Slope", ("slope", "scarp")), ("Structure", ("structure", "building", "hut", "mast", "camp")))
 #: Letters of the 100 km squares of the British grid, from the south-west, a row for each 100 km north.
-SQUARES = ("SV SW SX SY SZ TV TW", "SQ SR SS ST SU TQ TR", "SL SM SN SO SP TL TM", "SF SG SH SJ SK TF TG", "SA SB SC SD SE TA TB", "NV NW NX NY NZ OV OW", "NQ NR NS NT NU OQ OR", "NL NM NN NO NP OL OM", "NF NG NH NJ NK OF OG", "NA NB NC ND NE OA OB", "HV HW HX HY HZ JV JW", "HQ HR HS HT HU JQ JR", "HL HM HN HO HP JL JM")
+SQUARES = (
+    ("SV", "SW", "SX", "SY", "SZ", "TV", "TW"),
+    ("SQ", "SR", "SS", "ST", "SU", "TQ", "TR"),
+    ("SL", "SM", "SN", "SO", "SP", "TL", "TM"),
+    ("SF", "SG", "SH", "SJ", "SK", "TF", "TG"),
+    ("SA", "SB", "SC", "SD", "SE", "TA", "TB"),
+    ("NV", "NW", "NX", "NY", "NZ", "OV", "OW"),
+    ("NQ", "NR", "NS", "NT", "NU", "OQ", "OR"),
+    ("NL", "NM", "NN", "NO", "NP", "OL", "OM"),
+    ("NF", "NG", "NH", "NJ", "NK", "OF", "OG"),
+    ("NA", "NB", "NC", "ND", "NE", "OA", "OB"),
+    ("HV", "HW", "HX", "HY", "HZ", "JV", "JW"),
+    ("HQ", "HR", "HS", "HT", "HU", "JQ", "JR"),
+    ("HL", "HM", "HN", "HO", "HP", "JL", "JM"),
+)
 
 
 def normalise(text: Column) -> Column:
@@ -81,7 +102,7 @@ def first_non_empty(*cols: Column) -> Column:
 
 def grid_square(easting: Column, northing: Column) -> Column:
     """Letters of the 100 km square; null outside the grid."""
-    rows = F.array(*(F.split(F.lit(s), " ") for s in SQUARES))
+    rows = F.array(*(F.array(*(F.lit(x) for x in row)) for row in SQUARES))
     n, e = F.floor(northing / 100_000).cast("int"), F.floor(easting / 100_000).cast("int")
     return F.when((n >= 0) & (e >= 0), F.get(F.get(rows, n), e))
 
@@ -171,36 +192,69 @@ def angle_between(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
-def similarity(rows: DataFrame, bank: DataFrame, names: list[str], leave_out: bool = False) -> DataFrame:
-    """Nearest reference of each row: label, uid and exp(-2 * 0.88 * RMS distance in robust units).
+#: References that go to the executors at a time.
+BANK = 20_000
+#: Scales of the six terms of a shape's signature.
+SHAPE_SCALES = (4.615, 1.0, 1.0, 1.0, 1.0, 2.0)
+
+
+def similarity(rows: DataFrame, bank: DataFrame, names: list[str], leave_out: bool = False, shape: list[str] | None = None, block: int = BANK) -> DataFrame:
+    """Nearest reference of each row: label, uid and exp(-2 * distance), where the distance is 0.88 of the RMS difference in
+    robust units and, with `shape` (columns of rows and bank), 0.12 of the signatures' in SHAPE_SCALES.
 
     rows: id, the descriptor's columns (and uid with leave_out: references of that uid don't count, neither as nearest
-    nor in the scale). The bank of references is broadcast: one that grows beyond BANK rows is refused.
+    nor in the scale). References go to the executors `block` at a time, so any number of them is compared; ties take
+    the smallest uid. Leaving out needs all references at hand, and is refused beyond one block of them. Without any
+    reference no row comes out.
     """
-    n = bank.limit(BANK + 1).count()
-    if n > BANK:
-        raise ValueError(f"more than {BANK} references")
-    refs = bank.select(F.col("uid").alias("_uid"), "label", F.array(*names).alias("_d"))
-    keyed = rows.select("id", *(["uid"] if leave_out else []), F.array(*names).alias("_x"))
-    groups = keyed.select("uid").distinct() if leave_out else None
-    usable = groups.join(F.broadcast(refs), F.col("uid") != F.col("_uid")) if leave_out else refs
-    by = ["uid"] if leave_out else []
-    long = usable.select(*by, F.posexplode("_d").alias("p", "v"))
-    mid = long.groupBy(*by, "p").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.count("*").alias("k"))
-    off = long.join(F.broadcast(mid), [*by, "p"]).withColumn("o", F.abs(F.col("v") - F.col("m")))
-    scale = off.groupBy(*by, "p").agg(F.percentile("o", F.lit(0.5)).alias("mad"), F.max("k").alias("k"))
-    scale = scale.withColumn("s", F.when(F.col("k") == 1, 1.0).otherwise(F.greatest(1.4826 * F.col("mad"), F.lit(0.25))))
-    scales = scale.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]).alias("_s"))
-    met = keyed.join(F.broadcast(scales), "uid") if leave_out else keyed.crossJoin(F.broadcast(scales))
-    pairs = met.join(F.broadcast(refs), F.col("uid") != F.col("_uid")) if leave_out else met.crossJoin(F.broadcast(refs))
-    squares = F.transform(F.arrays_zip("_x", "_d", "_s"), lambda t: F.pow((t["_x"] - t["_d"]) / t["_s"], F.lit(2)))
-    dist = 0.88 * F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b) / len(names))
-    best = pairs.groupBy("id").agg(F.min(F.struct(dist.alias("dist"), F.col("_uid").alias("uid"), "label")).alias("b"))
-    return best.select("id", F.col("b.label").alias("label"), F.col("b.uid").alias("match"), F.exp(-2 * F.col("b.dist")).alias("similarity"))
-
-
-#: References that similarity() broadcasts at most.
-BANK = 20_000
+    ship(rows.sparkSession)
+    shape = shape or []
+    n = bank.count()
+    if leave_out and n > block:
+        raise ValueError(f"more than {block} references to leave one out of")
+    if n and not leave_out:
+        middle = stats.quantiles(bank, {c: (c, 0.5) for c in names})
+        off = stats.quantiles(bank, {c: (F.abs(F.col(c) - middle[c]), 0.5) for c in names})
+        whole = np.array([max(1.4826 * off[c], 0.25) if n > 1 else 1.0 for c in names])
+    columns = ["id", *(["uid"] if leave_out else []), *names, *shape]
+    kinds = {f.name: f.dataType for f in bank.schema}
+    schema = StructType([rows.schema["id"], StructField("dist", DoubleType()), StructField("match", kinds["uid"]), StructField("label", kinds["label"])])
+
+    def scale_without(refs: np.ndarray) -> np.ndarray:
+        if len(refs) < 2:
+            return np.ones(refs.shape[1])
+        return np.maximum(1.4826 * np.median(np.abs(refs - np.median(refs, axis=0)), axis=0), 0.25)
+
+    def against(part: pd.DataFrame) -> DataFrame:
+        part = part.sort_values("uid", ignore_index=True)
+        refs, forms = part[names].to_numpy(float), part[shape].to_numpy(float) / np.array(SHAPE_SCALES[: len(shape)])
+        uids, labels = part["uid"].to_numpy(), part["label"].to_numpy()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x, f = b[names].to_numpy(float), b[shape].to_numpy(float) / np.array(SHAPE_SCALES[: len(shape)])
+                out = []
+                for i, key in enumerate(b["id"]):
+                    use = uids != b["uid"].iloc[i] if leave_out else slice(None)
+                    r = refs[use]
+                    if not len(r):
+                        continue
+                    d = 0.88 * np.sqrt((((r - x[i]) / (scale_without(r) if leave_out else whole)) ** 2).mean(axis=1))
+                    if shape:
+                        d = d + 0.12 * np.sqrt(((forms[use] - f[i]) ** 2).mean(axis=1))
+                    k = int(np.argmin(d))
+                    out.append((key, float(d[k]), uids[use][k], labels[use][k]))
+                yield pd.DataFrame(out, columns=["id", "dist", "match", "label"])
+
+        return rows.select(*columns).mapInPandas(run, schema)
+
+    blocks = -(-n // block)
+    part = F.pmod(F.xxhash64("uid"), F.lit(max(1, 2 * blocks if blocks > 1 else 1)))
+    found = [against(bank.where(part == i).select("uid", "label", *names, *shape).toPandas()) for i in range(max(1, 2 * blocks if blocks > 1 else 1))]
+    best = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        best = best.groupBy("id").agg(F.min(F.struct("dist", "match", "label")).alias("b")).select("id", "b.*")
+    return best.select("id", "label", "match", F.exp(-2 * F.col("dist")).alias("similarity"))
 
 
 def best_named(points: DataFrame, features: DataFrame, reach: float, score: Column) -> DataFrame:
@@ -260,6 +314,15 @@ def ranked(candidates: DataFrame, most: int, level: int) -> DataFrame:
     return top.withColumn("rank", number).withColumn("class", F.when(F.col("score") >= 74 - 0.8 * level, "high-priority").otherwise("candidate"))
 
 
+def reranked(candidates: DataFrame) -> DataFrame:
+    """Retained candidates (score, trained) with the stored model's probability blended in, in their new order and numbered anew.
+
+    The numbering's one partition has the candidates that were retained, whose number is bounded."""
+    score = F.round(100 * clip(0.42 * F.col("score") / 100 + 0.58 * F.col("trained")), 6)
+    out = candidates.withColumn("score", score).withColumn("support", F.when(F.col("trained") >= 0.8, "strong").when(F.col("trained") >= 0.62, "supporting"))
+    return out.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), F.col("trained").desc(), "id")))
+
+
 def spaced(frames: DataFrame, key: str, day: str, gap: int, most: int) -> DataFrame:
     """Per key: greedily from the latest day, days at least `gap` apart from all chosen, `most` of them."""
     days = F.sort_array(F.collect_set(F.unix_date(F.to_date(day))), asc=False)

@@ -119,7 +119,7 @@ def geometry_hash(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.concat_ws("|", F.col("p_partkey") % 100, "p_size", "p_name"), 256).alias("hash"))
 
 
-@query(f"""WITH s(n, row) AS (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(vector.SQUARES))}), o AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 700000 AS e, (o_custkey * 104729) % 1400000 AS n FROM orders)
+@query(f"""WITH s(n, row) AS (VALUES {", ".join(f"({i}, '{' '.join(s)}')" for i, s in enumerate(vector.SQUARES))}), o AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 700000 AS e, (o_custkey * 104729) % 1400000 AS n FROM orders)
 SELECT id, split_part(s.row, ' ', CAST(e // 100000 + 1 AS INT)) AS square FROM o LEFT JOIN s ON s.n = o.n // 100000""")
 def grid_square(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 7919) % 700000).alias("e"), ((F.col("o_custkey") * 104729) % 1400000).alias("n"))
@@ -236,22 +236,22 @@ RMS = "0.88 * sqrt((" + " + ".join(f"pow((a.x{i} - b.x{i}) / s{i}, 2)" for i in
 
 
 @query(
-    f"""WITH {VE}, bank AS (SELECT * FROM ve WHERE id % 25 = 0), m AS (SELECT {", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(DIM))} FROM bank), s AS (SELECT {MADS} FROM bank, m),
+    f"""WITH {VE}, bank AS (SELECT * FROM ve WHERE label < 2), m AS (SELECT {", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(DIM))} FROM bank), s AS (SELECT {MADS} FROM bank, m),
 d AS (SELECT a.id, b.id AS match, b.label, {RMS} AS dist FROM ve a, bank b, s) SELECT id, CAST(label AS VARCHAR) AS label, match, round(exp(-2 * dist), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, match) AS k FROM d) WHERE k = 1"""
 )
 def nn_similarity(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    bank = v.where("id % 25 = 0").withColumnRenamed("id", "uid").withColumn("label", F.col("label").cast("string"))
+    bank = v.where("label < 2").withColumnRenamed("id", "uid").withColumn("label", F.col("label").cast("string"))
     return vector.similarity(v, bank, NAMES).select("id", "label", "match", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
-    f"""WITH {VE}, bank AS (SELECT * FROM ve WHERE id % 25 = 0), pairs AS (SELECT a.id AS own, b.* FROM bank a JOIN bank b ON a.id <> b.id), m AS (SELECT own, {", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(DIM))} FROM pairs GROUP BY own),
+    f"""WITH {VE}, bank AS (SELECT * FROM ve WHERE label < 2), pairs AS (SELECT a.id AS own, b.* FROM bank a JOIN bank b ON a.id <> b.id), m AS (SELECT own, {", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(DIM))} FROM pairs GROUP BY own),
 s AS (SELECT own, {MADS} FROM pairs JOIN m USING (own) GROUP BY own), d AS (SELECT a.id, b.id AS match, {RMS} AS dist FROM bank a JOIN bank b ON a.id <> b.id JOIN s ON s.own = a.id)
 SELECT id, match, round(exp(-2 * dist), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, match) AS k FROM d) WHERE k = 1"""
 )
 def leave_one_out_similarity(spark: SparkSession, d: str) -> DataFrame:
-    bank = vectors(spark, d).where("id % 25 = 0").withColumn("uid", F.col("id")).withColumn("label", F.col("label").cast("string"))
+    bank = vectors(spark, d).where("label < 2").withColumn("uid", F.col("id")).withColumn("label", F.col("label").cast("string"))
     return vector.similarity(bank, bank, NAMES, leave_out=True).select("id", "match", F.round("similarity", 6).alias("similarity"))
 
 
@@ -463,11 +463,13 @@ def rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector.ranked(scored, 385, 5).select("id", "score", F.col("rank").cast("long").alias("rank"), "class")
 
 
-@query(f"WITH {FE}, {CA}, s AS (SELECT id, trained, round(100 * greatest(0, least(1, 0.42 * ({sql_score('plain')}) / 100 + 0.58 * trained)), 6) AS score FROM ca) SELECT id, score, CASE WHEN trained >= 0.8 THEN 'strong' WHEN trained >= 0.62 THEN 'supporting' END AS support FROM s")
+@query(
+    f"""WITH {FE}, {CA}, s AS (SELECT id, trained, round({sql_score('plain')}, 6) AS first FROM ca ORDER BY first DESC, id LIMIT 385), n AS (SELECT id, trained, round(100 * greatest(0, least(1, 0.42 * first / 100 + 0.58 * trained)), 6) AS score FROM s)
+SELECT row_number() OVER (ORDER BY score DESC, trained DESC, id) AS rank, id, score, CASE WHEN trained >= 0.8 THEN 'strong' WHEN trained >= 0.62 THEN 'supporting' END AS support FROM n"""
+)
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d)
-    score = 100 * stats.clip(0.42 * vector.candidate_score("plain") / 100 + 0.58 * F.col("trained"))
-    return c.select("id", F.round(score, 6).alias("score"), F.when(F.col("trained") >= 0.8, "strong").when(F.col("trained") >= 0.62, "supporting").alias("support"))
+    first = candidates(spark, d).withColumn("score", F.round(vector.candidate_score("plain"), 6)).orderBy(F.col("score").desc(), "id").limit(385)
+    return vector.reranked(first).select(F.col("rank").cast("long").alias("rank"), "id", "score", "support")
 
 
 @query("""WITH RECURSIVE d AS (SELECT DISTINCT o_custkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders), s(k, pos, day) AS (SELECT k, 0::BIGINT, max(day) FROM d GROUP BY k
@@ -483,11 +485,12 @@ def radial_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH " + tq.G + """, w AS (SELECT r, c, abs(v) + 1e-3 AS w FROM g), m AS (SELECT sum(w) AS t, sum(w * r) / sum(w) AS my, sum(w * c) / sum(w) AS mx FROM w),
-s AS (SELECT sum(w * ((c - mx) / 32) ** 2) / max(t) AS xx, sum(w * (c - mx) / 32 * (r - my) / 32) / max(t) AS xy, sum(w * ((r - my) / 32) ** 2) / max(t) AS yy FROM w, m)
-SELECT round((xx + yy) / 2 + sqrt(greatest(0, (xx + yy) ** 2 / 4 - (xx * yy - xy * xy))), 6) AS major, round((xx + yy) / 2 - sqrt(greatest(0, (xx + yy) ** 2 / 4 - (xx * yy - xy * xy))), 6) AS minor, round(xx + yy, 6) AS trace, round(xx * yy - xy * xy, 6) AS det FROM s""")
+s AS (SELECT sum(w * (c - mx) ** 2) / max(t) AS xx, sum(w * (c - mx) * (r - my)) / max(t) AS xy, sum(w * (r - my) ** 2) / max(t) AS yy, avg(((c - mx) ** 3 + (r - my) ** 3) * w) / max(t) AS skew, avg(((c - mx) ** 4 + (r - my) ** 4) * w) / max(t) AS kurtosis, avg(w) AS weight FROM w, m),
+e AS (SELECT *, xx + yy AS trace, xx * yy - xy * xy AS det, sqrt(greatest(0, (xx + yy) ** 2 / 4 - (xx * yy - xy * xy))) AS root FROM s)
+SELECT round(trace / 2 - root, 4) AS minor, round(trace / 2 + root, 4) AS major, round(trace, 4) AS trace, round(det, 3) AS det, round((trace / 2 + root) / greatest(trace / 2 - root, 1e-6), 5) AS ratio, round(skew, 5) AS skew, round(kurtosis, 3) AS kurtosis, round(weight, 5) AS weight FROM e""")
 def moments(spark: SparkSession, d: str) -> DataFrame:
-    m = learning.moments(grid.surface(spark, d), 32)
-    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+    digits = {"minor": 4, "major": 4, "trace": 4, "det": 3, "ratio": 5, "skew": 5, "kurtosis": 3, "weight": 5}
+    return learning.moments(grid.surface(spark, d)).select(*(F.round(c, n).alias(c) for c, n in digits.items()))
 
 
 @query(

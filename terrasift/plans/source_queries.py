@@ -114,7 +114,7 @@ def study_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT c_custkey AS id, c_custkey % 6 AS n, c_custkey % 2 = 0 AS building, c_custkey % 3 = 0 AS closed FROM customer)
-SELECT id, CASE WHEN n + (closed AND n > 0)::INT + (building AND n > 1 AND NOT closed)::INT < 2 THEN NULL WHEN n + (closed AND n > 0)::INT + (building AND n > 1 AND NOT closed)::INT >= 4 AND (closed OR building) THEN 'polygon' ELSE 'line' END AS kind FROM w""")
+SELECT id, CASE WHEN n + (closed AND n > 0)::INT < 2 THEN NULL WHEN building AND n + (closed OR n > 1)::INT >= 4 THEN 'polygon' ELSE 'line' END AS kind FROM w""")
 def way_geometry(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer")
     n = (F.col("c_custkey") % 6).cast("int")

@@ -91,10 +91,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 RELIEFS = [s for i, x in enumerate(terrain.SCALES) for s in (sql_gauss("g", "v", grid.relief_sigma(x), f"m{i}"), f"rel{i} AS (SELECT g.r, g.c, g.v - m{i}.v AS v FROM g JOIN m{i} USING (r, c))")]
 RELIEF_Z = [*RELIEFS, *(sql_mad_z(f"rel{i}", "v", f"z{i}") for i in range(len(terrain.SCALES)))]
-Z_JOIN = "z0 JOIN z1 USING (r, c) JOIN z2 USING (r, c)"
+N_SCALES = len(terrain.SCALES)
+Z_JOIN = "z0 " + " ".join(f"JOIN z{i} USING (r, c)" for i in range(1, N_SCALES))
 CUTOFF = terrain.persistence_cutoff(LEVEL)
-MAX_RELIEF = [*RELIEF_Z, *(sql_unit(f"z{i}", "z", f"u{i}") for i in range(3)), sql_greatest([(f"u{i}", "u") for i in range(3)], "mr", "max_relief")]
-PERSISTENCE = f"pe AS (SELECT r, c, (CAST(z0.z >= {CUTOFF} AS INT) + CAST(z1.z >= {CUTOFF} AS INT) + CAST(z2.z >= {CUTOFF} AS INT)) / 3.0::DOUBLE AS persistence FROM {Z_JOIN})"
+MAX_RELIEF = [*RELIEF_Z, *(sql_unit(f"z{i}", "z", f"u{i}", 0.997) for i in range(N_SCALES)), sql_greatest([(f"u{i}", "u") for i in range(N_SCALES)], "mr", "max_relief")]
+PERSISTENCE = f"pe AS (SELECT r, c, ({' + '.join(f'CAST(z{i}.z >= {CUTOFF} AS INT)' for i in range(N_SCALES))}) / {N_SCALES}.0::DOUBLE AS persistence FROM {Z_JOIN})"
 
 
 @query(with_(G) + "SELECT r, c, CAST(v AS DOUBLE) AS v FROM g")
@@ -202,20 +203,29 @@ def sql_slopes(src: str, out: str) -> str:
 {sql_gradient(out + "_g", "gx", out + "_gx")}, {sql_gradient(out + "_g", "gy", out + "_gy")}, {out}_k AS (SELECT r, c, abs({out}_gx.gx + {out}_gy.gy) AS v FROM {out}_gx JOIN {out}_gy USING (r, c))"""
 
 
-LINEAR = [sql_gauss("g", "v", grid.relief_sigma(3.0), "ls"), sql_slopes("ls", "l"), "l_r AS (SELECT r, c, abs(g.v - ls.v) AS v FROM g JOIN ls USING (r, c))", sql_coherence("l_g", 1.4, "l_c"),
-          sql_unit("l_k", "v", "uk", 0.997), sql_unit("l_r", "v", "ur", 0.997), sql_unit("l_s", "v", "us", 0.997),
-          "li AS (SELECT r, c, ur.u * us.u * (0.30 + 0.50 * greatest(0, least(1, coherence)) + 0.20 * uk.u) AS linear FROM ur JOIN us USING (r, c) JOIN uk USING (r, c) JOIN l_c USING (r, c))"]
+def sql_linear(i: int, scale: float) -> list[str]:
+    """CTEs; li{i} has r, c, linear at one scale."""
+    n = f"l{i}"
+    return [
+        sql_gauss("g", "v", grid.relief_sigma(scale), f"{n}m"), sql_slopes(f"{n}m", n), f"{n}_r AS (SELECT r, c, abs(g.v - {n}m.v) AS v FROM g JOIN {n}m USING (r, c))", sql_coherence(f"{n}_g", 1.4, f"{n}_c"),
+        sql_unit(f"{n}_k", "v", f"{n}uk", 0.997), sql_unit(f"{n}_r", "v", f"{n}ur", 0.997), sql_unit(f"{n}_s", "v", f"{n}us", 0.997),
+        f"li{i} AS (SELECT r, c, {n}ur.u * {n}us.u * (0.30 + 0.50 * greatest(0, least(1, coherence)) + 0.20 * {n}uk.u) AS linear FROM {n}ur JOIN {n}us USING (r, c) JOIN {n}uk USING (r, c) JOIN {n}_c USING (r, c))",
+    ]
 
 
-@query(with_(G, *LINEAR) + "SELECT r, c, round(linear, 6) AS linear FROM li")
+LINEAR = [x for i, s in enumerate(terrain.LINES) for x in sql_linear(i, s)]
+LINEAR.append("ll AS (" + " UNION ALL ".join(f"SELECT r, c, linear, {s}::DOUBLE AS scale FROM li{i}" for i, s in enumerate(terrain.LINES)) + ")")
+
+
+@query(with_(G, *LINEAR) + "SELECT r, c, round(greatest(0, least(1, linear)), 6) AS linear, CASE WHEN linear > 0 THEN scale ELSE 0 END AS linear_scale FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY linear DESC, scale) AS k FROM ll) WHERE k = 1")
 def linear_response(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(terrain.linear_scale(grid.surface(spark, d), 3.0, "linear"), "linear")
+    return rounded(terrain.linear(grid.surface(spark, d)), "linear", "linear_scale")
 
 
 ANNULAR = [x for i, s in enumerate(terrain.PATTERN) for x in (
     sql_kernel("g", "v", grid.box_kernel(grid.odd_pixels(2.4 * s, 5)), f"ao{i}"), sql_kernel("g", "v", grid.box_kernel(grid.odd_pixels(0.75 * s, 3)), f"ai{i}"),
     f"ad{i} AS (SELECT r, c, abs(ao{i}.v - ai{i}.v) AS v FROM ao{i} JOIN ai{i} USING (r, c))", sql_unit(f"ad{i}", "v", f"au{i}", 0.997))]
-ANNULAR.append(sql_greatest([("au0", "u"), ("au1", "u")], "an", "annular"))
+ANNULAR.append(sql_greatest([(f"au{i}", "u") for i in range(len(terrain.PATTERN))], "an", "annular"))
 
 
 @query(with_(G, *ANNULAR) + "SELECT r, c, round(annular, 6) AS annular FROM an")
@@ -227,7 +237,7 @@ RIDGE = [x for i, s in enumerate(terrain.PATTERN) for x in (
     sql_box("g", "v", grid.odd_pixels(s, 3) // 2, "max", f"hi{i}"), sql_box("g", "v", grid.odd_pixels(s, 3) // 2, "min", f"lo{i}"),
     f"up{i} AS (SELECT r, c, g.v - lo{i}.v AS v FROM g JOIN lo{i} USING (r, c))", f"dn{i} AS (SELECT r, c, hi{i}.v - g.v AS v FROM g JOIN hi{i} USING (r, c))",
     sql_unit(f"up{i}", "v", f"uu{i}", 0.997), sql_unit(f"dn{i}", "v", f"ud{i}", 0.997))]
-RIDGE.append(sql_greatest([("uu0", "u"), ("ud0", "u"), ("uu1", "u"), ("ud1", "u")], "rv", "ridge_valley"))
+RIDGE.append(sql_greatest([(f"{k}{i}", "u") for i in range(len(terrain.PATTERN)) for k in ("uu", "ud")], "rv", "ridge_valley"))
 
 
 @query(with_(G, *RIDGE) + "SELECT r, c, round(ridge_valley, 6) AS ridge_valley FROM rv")
@@ -235,8 +245,8 @@ def ridge_valley(spark: SparkSession, d: str) -> DataFrame:
     return rounded(terrain.ridge_valley(grid.surface(spark, d)), "ridge_valley")
 
 
-TEXTURE = [*RELIEFS, *(x for i in range(3) for x in (sql_gauss(f"rel{i}", "v", 1.2, f"tg{i}"), f"tt{i} AS (SELECT r, c, abs(rel{i}.v - tg{i}.v) AS v FROM rel{i} JOIN tg{i} USING (r, c))")),
-           sql_greatest([(f"tt{i}", "v") for i in range(3)], "tx", "v"), sql_gauss("g", "v", grid.relief_sigma(6.0), "ts"), sql_slopes("ts", "t"), sql_coherence("t_g", 1.6, "t_c"),
+TEXTURE = [*RELIEFS, *(x for i in range(N_SCALES) for x in (sql_gauss(f"rel{i}", "v", 1.2, f"tg{i}"), f"tt{i} AS (SELECT r, c, abs(rel{i}.v - tg{i}.v) AS v FROM rel{i} JOIN tg{i} USING (r, c))")),
+           sql_greatest([(f"tt{i}", "v") for i in range(N_SCALES)], "tx", "v"), sql_gauss("g", "v", grid.relief_sigma(6.0), "ts"), sql_slopes("ts", "t"), sql_coherence("t_g", 1.6, "t_c"),
            sql_unit("tx", "v", "xt", 0.997), sql_unit("t_k", "v", "xk", 0.997), sql_unit("t_s", "v", "xs", 0.997),
            "te AS (SELECT r, c, greatest(xt.u, 0.55 * xk.u + 0.45 * xs.u * greatest(0, least(1, coherence))) AS texture, greatest(0, least(1, coherence)) AS coherence FROM xt JOIN xk USING (r, c) JOIN xs USING (r, c) JOIN t_c USING (r, c))"]
 
@@ -374,18 +384,17 @@ def descriptor27(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", *(F.round(c, 6).alias(c) for c in out.columns if c != "label"))
 
 
-KINDS = "CASE (l_suppkey % 6) WHEN 0 THEN 'building' WHEN 1 THEN 'road' WHEN 2 THEN 'track' WHEN 3 THEN 'path' WHEN 4 THEN 'boundary' ELSE 'water' END"
+KINDS = "CASE (s_nationkey % 6) WHEN 0 THEN 'building' WHEN 1 THEN 'road' WHEN 2 THEN 'track' WHEN 3 THEN 'path' WHEN 4 THEN 'boundary' ELSE 'water' END"
 MODERN_SQL = "w(kind, w, k) AS (VALUES " + ", ".join(f"('{k}', {w}::DOUBLE, {x}::DOUBLE)" for k, (w, x) in masks.MODERN.items()) + ")"
 
 
 @query(
-    with_(G, MODERN_SQL, f"mk AS (SELECT DISTINCT l_orderkey % 32 AS r, l_partkey % 32 AS c, {KINDS} AS kind FROM lineitem WHERE l_orderkey % 97 = 5)")
+    with_(G, MODERN_SQL, f"mk AS (SELECT DISTINCT s_suppkey % 32 AS r, (s_suppkey * 7) % 31 AS c, {KINDS} AS kind FROM supplier)")
     + "SELECT g.r, g.c, round(coalesce(max(w * exp(-sqrt((g.r - mk.r) ** 2 + (g.c - mk.c) ** 2) / k)), 0), 6) AS penalty FROM g LEFT JOIN mk ON true LEFT JOIN w USING (kind) GROUP BY 1, 2"
 )
 def modern_penalty(spark: SparkSession, d: str) -> DataFrame:
-    items = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 97 = 5")
-    marks = items.select((F.col("l_orderkey") % SIDE).alias("r"), (F.col("l_partkey") % SIDE).alias("c"), F.expr(KINDS).alias("kind"))
-    return rounded(masks.modern_penalty(grid.surface(spark, d).select("r", "c"), marks, 44), "penalty")
+    marks = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % SIDE).alias("r"), (F.col("s_suppkey") * 7 % 31).alias("c"), F.expr(KINDS).alias("kind"))
+    return rounded(masks.modern_penalty(grid.surface(spark, d).select("r", "c"), marks), "penalty")
 
 
 BANDS = """bands AS (SELECT l_orderkey % 32 AS r, l_partkey % 32 AS c, CAST(extract(year FROM l_shipdate) AS BIGINT) AS scene, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS nir, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS red FROM lineitem GROUP BY 1, 2, 3),

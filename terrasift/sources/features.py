@@ -92,8 +92,7 @@ def circle(x: Column, y: Column, radius: Column, edges: int = 128) -> Column:
 
 
 def way_kind(points: Column, building: Column) -> Column:
-    """polygon, line or null for a way; a building's ring is closed first."""
+    """polygon, line or null for a way: only a building, whose ring is closed first, is a polygon; a closed hedge stays a line."""
     first, last = F.get(points, F.lit(0)), F.get(points, F.size(points) - 1)
-    closed = F.when(building & (first != last), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
-    ends = F.get(closed, F.lit(0)) == F.get(closed, F.size(closed) - 1)
-    return F.when(F.size(closed) < 2, None).when((F.size(closed) >= 4) & ends, "polygon").otherwise("line")
+    corners = F.size(points) + (first != last).cast("int")
+    return F.when(F.size(points) < 2, None).when(building & (corners >= 4), "polygon").otherwise("line")
