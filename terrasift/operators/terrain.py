@@ -117,10 +117,14 @@ def relief_z(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
     return stats.mad_zs(reliefs(cells, scales), {f"rel_{i}": f"z_{i}" for i in range(len(scales))})
 
 
-def strongest(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
-    """scale and relief where the z is highest; the first scale wins ties."""
+def with_strongest(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
+    """cells with scale and relief where the z is highest; the first scale wins ties."""
     best = F.array_max(F.array(*(F.struct(F.col(f"z_{i}").alias("z"), F.lit(-i).alias("k"), F.lit(s).alias("scale"), F.col(f"rel_{i}").alias("relief")) for i, s in enumerate(scales))))
-    return cells.withColumn("_b", best).select("r", "c", F.col("_b.scale").alias("scale"), F.col("_b.relief").alias("relief"))
+    return cells.withColumn("_b", best).withColumn("scale", F.col("_b.scale")).withColumn("relief", F.col("_b.relief")).drop("_b")
+
+
+def strongest(cells: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
+    return with_strongest(cells, scales).select("r", "c", "scale", "relief")
 
 
 def persistence_cutoff(level: int) -> float:
@@ -138,26 +142,42 @@ def coherence(cells: DataFrame, gx: str, gy: str, sigma: float) -> DataFrame:
     """coherence of the structure tensor, 0 where there is no gradient."""
     products = cells.withColumn("_xx", F.col(gx) * F.col(gx)).withColumn("_xy", F.col(gx) * F.col(gy)).withColumn("_yy", F.col(gy) * F.col(gy))
     products = grid.convolve_all(products, [(p, grid.gauss_kernel(sigma), p) for p in ("_xx", "_xy", "_yy")])
-    trace = F.col("_xx") + F.col("_yy")
-    root = F.sqrt((F.col("_xx") - F.col("_yy")) ** 2 + 4 * F.col("_xy") ** 2)
-    return products.withColumn("coherence", F.when(trace > 1e-9, root / (trace + 1e-9)).otherwise(0.0)).drop("_xx", "_xy", "_yy")
+    return products.withColumn("coherence", _coherent("_xx", "_xy", "_yy")).drop("_xx", "_xy", "_yy")
 
 
-def linear_scale(cells: DataFrame, scale: float, out: str) -> DataFrame:
-    """Line response at one scale: relief * edge * (0.30 + 0.50 coherence + 0.20 curvature)."""
-    df = curvature(slope(grid.gauss(cells, "v", grid.relief_sigma(scale), "s"), "s"), "curv").withColumn("rel", F.abs(F.col("v") - F.col("s")))
-    df = stats.robust_units(coherence(df, "gx", "gy", 1.4), {"curv": "_k", "rel": "_e", "slope": "_d"}, 0.997)
-    value = F.col("_e") * F.col("_d") * (0.30 + 0.50 * stats.clip(F.col("coherence")) + 0.20 * F.col("_k"))
-    return df.withColumn(out, value).select(*cells.columns, out)
+def _coherent(xx: str, xy: str, yy: str) -> Column:
+    trace = F.col(xx) + F.col(yy)
+    root = F.sqrt((F.col(xx) - F.col(yy)) ** 2 + 4 * F.col(xy) ** 2)
+    return F.when(trace > 1e-9, root / (trace + 1e-9)).otherwise(0.0)
 
 
 def linear(cells: DataFrame, scales: tuple[float, ...] = LINES) -> DataFrame:
-    """linear: the strongest line response over the scales; linear_scale: the scale that has it (the first of equals; 0 without any response)."""
-    for i, s in enumerate(scales):
-        cells = linear_scale(cells, s, f"_l{i}")
-    best = F.array_max(F.array(*(F.struct(F.col(f"_l{i}").alias("v"), F.lit(-i).alias("k"), F.lit(s).alias("scale")) for i, s in enumerate(scales))))
-    cells = cells.withColumn("_b", best).withColumn("linear", stats.clip(F.col("_b.v"))).withColumn("linear_scale", F.when(F.col("_b.v") > 0, F.col("_b.scale")).otherwise(0.0))
-    return cells.drop("_b", *(f"_l{i}" for i in range(len(scales))))
+    """linear: the strongest line response over the scales; linear_scale: the scale that has it (the first of equals; 0 without any response).
+
+    At each scale: relief * edge * (0.30 + 0.50 coherence + 0.20 curvature). All scales go through each step together, so
+    that any number of them takes as many shuffles and aggregates as one.
+    """
+    each = range(len(scales))
+
+    def on(name: str, col: str, axis: str) -> dict[str, Column]:
+        return {f"{name}{i}": grid.gradient(f"{col}{i}", axis) for i in each}
+
+    df = grid.convolve_all(cells, [("v", grid.gauss_kernel(grid.relief_sigma(s)), f"_s{i}") for i, s in enumerate(scales)])
+    df = df.withColumns(on("_gy", "_s", "y")).withColumns(on("_gx", "_s", "x")).withColumns(on("_cx", "_gx", "x")).withColumns(on("_cy", "_gy", "y"))
+    x, y = (lambda i: F.col(f"_gx{i}")), (lambda i: F.col(f"_gy{i}"))
+    df = df.withColumns({f"_k{i}": F.abs(F.col(f"_cx{i}") + F.col(f"_cy{i}")) for i in each} | {f"_e{i}": F.abs(F.col("v") - F.col(f"_s{i}")) for i in each} | {f"_d{i}": F.hypot(x(i), y(i)) for i in each})
+    df = df.withColumns({f"_{k}{i}": p for i in each for k, p in (("xx", x(i) * x(i)), ("xy", x(i) * y(i)), ("yy", y(i) * y(i)))})
+    products = [f"_{k}{i}" for i in each for k in ("xx", "xy", "yy")]
+    df = grid.convolve_all(df.drop(*(f"_{k}{i}" for i in each for k in ("s", "gx", "gy", "cx", "cy"))), [(p, grid.gauss_kernel(1.4), p) for p in products])
+    names = [f"_{k}{i}" for i in each for k in "ked"]
+    df = stats.robust_units(df, {n: f"_u{n}" for n in names}, 0.997)
+
+    def response(i: int) -> Column:
+        return F.col(f"_u_e{i}") * F.col(f"_u_d{i}") * (0.30 + 0.50 * stats.clip(_coherent(f"_xx{i}", f"_xy{i}", f"_yy{i}")) + 0.20 * F.col(f"_u_k{i}"))
+
+    best = F.array_max(F.array(*(F.struct(response(i).alias("v"), F.lit(-i).alias("k"), F.lit(s).alias("scale")) for i, s in enumerate(scales))))
+    df = df.withColumn("_b", best)
+    return df.select(*cells.columns, stats.clip(F.col("_b.v")).alias("linear"), F.when(F.col("_b.v") > 0, F.col("_b.scale")).otherwise(0.0).alias("linear_scale"))
 
 
 def annular(cells: DataFrame, scales: tuple[float, ...] = PATTERN) -> DataFrame:
