@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detect, feature_queries, shape_queries, source_queries, terrain_queries
+from . import detect, feature_queries, record_queries, shape_queries, source_queries, terrain_queries
 
-MODULES = (terrain_queries, feature_queries, source_queries, shape_queries)
+MODULES = (terrain_queries, feature_queries, source_queries, shape_queries, record_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
