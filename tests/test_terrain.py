@@ -54,7 +54,7 @@ def test_ring_is_annular(spark):
 
 def test_line_is_linear(spark):
     z = 0.015 * YY + np.where(np.abs(XX - 20) <= 1, 1.25, 0)
-    a = array(terrain.linear_scale(raster(spark, z), 3.0, "linear"), "linear", z.shape)
+    a = array(terrain.linear(raster(spark, z), (3.0,)), "linear", z.shape)
     assert a[:, 18:23].max() > 0.5 > a[:, :10].max()
 
 
