@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clip
 
-# Property names in the order in which they are tried, generic values, words of names.
-LABEL_KEYS = ("MONUMENT_TYPE", "MONUMENT_TYPE_ID", "TYPE", "LAYER", "prospector_aim_layer", "EVIDENCE_1", "source")
+# Property names in the order in which they are tried (without names that one program stamps on its own copies), generic values, words of names.
+LABEL_KEYS = ("MONUMENT_TYPE", "MONUMENT_TYPE_ID", "TYPE", "LAYER", "EVIDENCE_1", "source")
 GENERIC_LABELS = ("aerial archaeology mapping", "historic england aim")
 UNKNOWN_LABEL = "Unknown Historic England feature"
 UID_KEYS = {
