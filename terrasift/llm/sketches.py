@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, ranked, read
+from .common import HEAVY_KEYS, HEAVY_ROWS, WORD, ranked, read
 
 SIZE, SHINGLE = 128, 5
 
@@ -80,19 +80,31 @@ def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text and the next document's first quarter as long as text's last, and the next document's sketch.
 
     Texts are shuffled once, by document; what a document needs of the next one comes to it in a second, smaller shuffle.
+    The rows of a document that is repeated more than max(HEAVY_ROWS, rows / HEAVY_KEYS) times (rows without an id and
+    with an empty text, say) are dealt by salts, and what they need is sent to each salt.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").isNull().alias("_z"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("text"))
     key = ["_z", "_d", "_h"]
-    thin = keyed.select(*key, F.floor(F.char_length("text") / 4).cast("int").alias("_q")).groupBy(*key).agg(F.max("_q").alias("_q"))
+    thin = keyed.select(*key, F.floor(F.char_length("text") / 4).cast("int").alias("_q")).groupBy(*key).agg(F.max("_q").alias("_q"), F.count("*").alias("_n"))
     order = ranked(spark, thin, [F.col(c) for c in key], "_rank", "order")
-    n = order.count()
-    after = order.select(*(F.col(c).alias(f"_o{c}") for c in key), F.col("_q"), ((F.col("_rank") + 1) % max(1, n)).alias("_next"))
-    pairs = order.select(*key, "_rank").join(after.hint("shuffle_hash"), F.col("_rank") == F.col("_next")).drop("_rank", "_next")
+    n, total = order.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    least = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    salts = F.ceil(F.col("_n") / least)
+    # More than total / HEAVY_KEYS rows each, so there are fewer than HEAVY_KEYS of them. A salt's share is some `least`
+    # rows, so none of a heavy key's salts stays without rows (a chance of exp(-least)).
+    heavy = F.broadcast(order.where(F.col("_n") > least).select(*key, salts.alias("_m")))
+    salted = keyed.withColumn("_i", F.monotonically_increasing_id()).join(heavy, key, "left")
+    salted = salted.select(*key, F.when(F.col("_m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_i"), F.col("_m"))).cast("long").alias("_s"), "text")
+    after = order.select(*(F.col(c).alias(f"_o{c}") for c in key), F.when(F.col("_n") > least, salts).otherwise(F.lit(1)).alias("_m"), F.col("_q"), ((F.col("_rank") + 1) % max(1, n)).alias("_next"))
+    # Salt 0, but not as a literal: its filter would be pushed below one of the two uses of the texts' shuffle, which then wouldn't be shared.
+    pairs = order.select(*key, F.pmod(F.col("_rank"), F.lit(1)).cast("long").alias("_s"), "_rank").join(after.hint("shuffle_hash"), F.col("_rank") == F.col("_next")).drop("_rank", "_next")
+    split = [*key, "_s"]
     # The first row of a key. (A filter on row_number would be turned into a limit below the shuffle, which then couldn't be shared with the last join.)
-    one = keyed.withColumn("_r", F.lag(F.lit(1)).over(W.partitionBy(*key).orderBy(F.lit(0)))).where("_r IS NULL").drop("_r")
-    sent = one.join(pairs.hint("merge"), key).select(*(F.col(f"_o{c}").alias(c) for c in key), F.expr("substring(text, 1, _q)").alias("_head"), sketch(F.col("text")).alias("next_sketch"))
-    rows = keyed.join(sent.hint("merge"), key)
+    one = salted.withColumn("_r", F.lag(F.lit(1)).over(W.partitionBy(*split).orderBy(F.lit(0)))).where("_r IS NULL").drop("_r")
+    sent = one.join(pairs.hint("merge"), split).select(*(F.col(f"_o{c}").alias(c) for c in key), F.col("_m"), F.expr("substring(text, 1, _q)").alias("_head"), sketch(F.col("text")).alias("next_sketch"))
+    sent = sent.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).drop("_m")
+    rows = salted.join(sent.hint("merge"), split)
     return rows.select(F.when(~F.col("_z"), F.col("_d")).alias("doc_id"), "text", "_head", "next_sketch")
 
 

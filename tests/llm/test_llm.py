@@ -586,6 +586,19 @@ def test_sketch_algebra(spark):
     assert 0 < c <= 1
 
 
+def test_sketches_of_hot_rows(spark, tmp_path, monkeypatch):
+    """Rows that repeat more often than HEAVY_ROWS are dealt by salts and get the results of one row."""
+    rows = [(i, f"text {i} of some words and more of them") for i in range(40)] + [(None, "")] * 300 + [(7, "a hot text of seven plain words")] * 200 + [(None, None)] * 50
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    calm = OPS["op10_bottom_k"](spark, str(tmp_path)).toPandas()
+    monkeypatch.setattr(sketches, "HEAVY_ROWS", 9)
+    split = OPS["op10_bottom_k"](spark, str(tmp_path)).toPandas()
+    order = list(calm.columns)
+    assert len(calm) == len(rows)
+    pd.testing.assert_frame_equal(calm.sort_values(order, ignore_index=True), split.sort_values(order, ignore_index=True))
+    assert split.drop_duplicates().shape[0] == 42
+
+
 def test_sketches_use_no_python(spark, data):
     plan = OPS["op10_bottom_k"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
