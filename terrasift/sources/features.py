@@ -50,10 +50,10 @@ def cache_key(url: Column, params: Column) -> Column:
     return F.sha2(F.concat_ws("\n", url, params), 256)
 
 
-def to_fetch(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests (key) without a sound entry in the cache (key, content, sha256, size): digests and sizes are checked each time."""
+def to_fetch(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
+    """Requests (key, ...) without a sound entry of their key in the cache (key, content, sha256, size): digests and sizes are checked each time."""
     sound = cache.where((F.sha2("content", 256) == F.col("sha256")) & (F.octet_length("content") == F.col("size")))
-    return requests.join(sound.select("key"), "key", "left_anti")
+    return requests.join(sound.select(key), key, "left_anti")
 
 
 def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
