@@ -258,12 +258,21 @@ def similarity(rows: DataFrame, bank: DataFrame, names: list[str], leave_out: bo
 
 
 def best_named(points: DataFrame, features: DataFrame, reach: float, score: Column) -> DataFrame:
-    """For each point (id, x, y) the name of the feature (name, fx, fy, ...) within reach that scores highest."""
+    """For each point (id, x, y) the name of the feature (key, name, fx, fy, ...) within reach that scores highest; ties take the smallest key.
+
+    The score may use dist and any column of the features but key and name. Points at one place and features that differ in
+    key and name alone are met once, so pairs grow with the places and not with the rows.
+    """
     bins = F.sequence(F.lit(-1), F.lit(1))
-    p = points.withColumn("_bx", F.explode(F.transform(bins, lambda k: F.floor(F.col("x") / reach) + k))).withColumn("_by", F.explode(F.transform(bins, lambda k: F.floor(F.col("y") / reach) + k)))
-    f = features.withColumn("_bx", F.floor(F.col("fx") / reach)).withColumn("_by", F.floor(F.col("fy") / reach))
-    near = p.join(f, ["_bx", "_by"]).withColumn("dist", F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))).where(F.col("dist") <= reach)
-    return near.withColumn("_s", score).groupBy("id").agg(F.max_by("name", F.struct("_s", -F.col("key"))).alias("name"), F.max("_s").alias("score"))
+    places = points.select("x", "y").distinct()
+    p = places.withColumn("_bx", F.explode(F.transform(bins, lambda k: F.floor(F.col("x") / reach) + k))).withColumn("_by", F.explode(F.transform(bins, lambda k: F.floor(F.col("y") / reach) + k)))
+    kinds = features.groupBy(*(c for c in features.columns if c not in ("key", "name"))).agg(F.min_by("name", "key").alias("name"), F.min("key").alias("key"))
+    f = kinds.withColumn("_bx", F.floor(F.col("fx") / reach)).withColumn("_by", F.floor(F.col("fy") / reach))
+    dx, dy = F.col("x") - F.col("fx"), F.col("y") - F.col("fy")
+    near = p.join(f, ["_bx", "_by"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= reach)
+    rank = F.struct(score.alias("s"), (-F.col("key")).alias("k"))
+    best = near.groupBy("x", "y").agg(F.max_by("name", rank).alias("_n"), F.max(rank).alias("_b"))
+    return points.select("id", "x", "y").join(best, ["x", "y"]).groupBy("id").agg(F.max_by("_n", "_b").alias("name"), F.max("_b.s").alias("score"))
 
 
 #: Weights of a candidate's score without and with a stored model.

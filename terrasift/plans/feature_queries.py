@@ -192,8 +192,8 @@ def near_parallel_anti(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, name, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM n) WHERE k = 1"""
 )
 def nearest_named(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).where("p_size <= 10").select(F.col("id").alias("key"), F.col("p_name").alias("name"), F.col("x0").alias("fx"), F.col("y0").alias("fy"))
-    score = 500 - F.col("dist") * 10 - F.when(F.length("name") > 20, 15).otherwise(0)
+    f = features(spark, d).where("p_size <= 10").select(F.col("id").alias("key"), F.col("p_name").alias("name"), F.when(F.length("p_name") > 20, 15).otherwise(0).alias("long"), F.col("x0").alias("fx"), F.col("y0").alias("fy"))
+    score = 500 - F.col("dist") * 10 - F.col("long")
     return vector.best_named(points(spark, d), f, 6.0, score).select("id", "name", F.round("score", 6).alias("score"))
 
 
