@@ -165,6 +165,11 @@ def overlap_area() -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
 
+def box_classes(boxes: DataFrame) -> DataFrame:
+    """Boxes (id, x0, y0, x1, y1, ...) as one row for those that are equal in all but id: the smallest id, and how many there are."""
+    return boxes.groupBy(*(c for c in boxes.columns if c != "id")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
 def box_metrics(w: Column, h: Column) -> dict[str, Column]:
     """Shape of a rectangle: area, perimeter, elongation, circularity, rectangularity, convexity."""
     area, perimeter = F.greatest(w * h, F.lit(1e-6)), F.greatest(2 * (w + h), F.lit(1e-6))

@@ -47,6 +47,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 FE = """fe AS (SELECT p_partkey AS id, p_name, p_type, p_size, (p_partkey % 100)::DOUBLE AS x0, p_size::DOUBLE AS y0, (p_partkey % 100 + 1 + p_partkey % 7)::DOUBLE AS x1, (p_size + 1 + p_size % 5)::DOUBLE AS y1,
 (1 + p_partkey % 7)::DOUBLE AS w, (1 + p_size % 5)::DOUBLE AS h FROM part)"""
 PT = "pt AS (SELECT o_orderkey AS id, (o_orderkey % 100)::DOUBLE AS x, (o_custkey % 100)::DOUBLE AS y FROM orders)"
+BOX = ["x0", "y0", "x1", "y1"]
 TOUCH = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 
 
@@ -150,9 +151,12 @@ def feature_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FE} SELECT b.id, count(*) AS n, min(a.id) AS first FROM fe a JOIN fe b ON {TOUCH} AND a.p_size <= 10 GROUP BY b.id")
 def bbox_intersects(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).select("id", "x0", "y0", "x1", "y1", "p_size")
-    pairs = vector.overlapping(f.where("p_size <= 10").drop("p_size"), f.drop("p_size"), 8.0)
-    return pairs.groupBy(F.col("r_id").alias("id")).agg(F.count("*").alias("n"), F.min("l_id").alias("first"))
+    """Equal boxes are met once; each class of them counts its copies."""
+    f = features(spark, d).select("id", *BOX, "p_size")
+    known, whole = vector.box_classes(f.where("p_size <= 10").drop("p_size")), vector.box_classes(f.drop("p_size"))
+    pairs = vector.overlapping(known, whole.drop("copies"), 8.0)
+    found = pairs.groupBy(*(F.col(f"r_{c}").alias(c) for c in BOX)).agg(F.sum("l_copies").alias("n"), F.min("l_id").alias("first"))
+    return f.join(found, BOX).groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 @query("WITH " + tq.G + f", {FE} SELECT id, count(*) AS cells, round(avg(g.v), 6) AS mean, max(g.v)::DOUBLE AS top FROM fe JOIN g ON g.c >= x0 AND g.c < x1 AND g.r >= y0 AND g.r < y1 GROUP BY id")
