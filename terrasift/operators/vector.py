@@ -170,6 +170,20 @@ def box_classes(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*(c for c in boxes.columns if c != "id")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
+def clear_of(points: DataFrame, boxes: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """The ids of the points (id, x, y) that lie in none of the boxes (x0, y0, x1, y1) widened by pad.
+
+    A place has one bin, so that the join stops at its first box; a point without a place lies in no box.
+    """
+    wide = boxes.select(*((F.col(c) - pad).alias(c) for c in ("x0", "y0")), *((F.col(c) + pad).alias(c) for c in ("x1", "y1"))).distinct()
+    places = points.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
+    places = places.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    b = _binned(wide, size).withColumnsRenamed({"_bx": "_cx", "_by": "_cy"})
+    hit = places.join(b, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & inside, "left_semi")
+    return points.select("id", "x", "y").join(hit.select("x", "y"), ["x", "y"], "left_anti").select("id")
+
+
 def box_metrics(w: Column, h: Column) -> dict[str, Column]:
     """Shape of a rectangle: area, perimeter, elongation, circularity, rectangularity, convexity."""
     area, perimeter = F.greatest(w * h, F.lit(1e-6)), F.greatest(2 * (w + h), F.lit(1e-6))

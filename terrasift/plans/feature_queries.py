@@ -169,10 +169,7 @@ def zonal_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FE}, {PT} SELECT id FROM pt WHERE NOT EXISTS (SELECT 1 FROM fe WHERE p_size <= 10 AND x BETWEEN x0 - 2 AND x1 + 2 AND y BETWEEN y0 - 2 AND y1 + 2)")
 def point_in_forbidden_anti(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d)
-    boxes = p.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    near = vector.overlapping(boxes, features(spark, d).where("p_size <= 10").select("id", "x0", "y0", "x1", "y1"), 8.0, pad=2.0)
-    return p.select("id").join(near.select(F.col("l_id").alias("id")), "id", "left_anti")
+    return vector.clear_of(points(spark, d), features(spark, d).where("p_size <= 10"), 8.0, pad=2.0)
 
 
 ANGLE = "({0}.id * 37) % 180"
