@@ -207,11 +207,13 @@ m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY known ORDER BY o
 SELECT fe.id, m.other AS best, round(coalesce(m.o, 0), 6) AS overlap, coalesce(m.o, 0) >= 0.18 AS detected FROM fe LEFT JOIN m ON m.known = fe.id WHERE fe.p_size <= 10"""
 )
 def best_overlap(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).select("id", "x0", "y0", "x1", "y1", (F.col("w") * F.col("h")).alias("area"), "p_size")
+    """Equal boxes are met once; of a class the smallest id is the best."""
+    f = features(spark, d).select("id", *BOX, (F.col("w") * F.col("h")).alias("area"), "p_size")
     known = f.where("p_size <= 10").drop("p_size")
-    pairs = vector.overlapping(known, f.where("p_size > 10").drop("p_size"), 8.0)
+    pairs = vector.overlapping(vector.box_classes(known), vector.box_classes(f.where("p_size > 10").drop("p_size")), 8.0)
     o = F.least(F.lit(1.0), F.greatest(vector.overlap_area() / F.col("l_area"), vector.overlap_area() / F.col("r_area")))
-    best = pairs.withColumn("o", o).where("o > 0").groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("o", (-F.col("r_id")).alias("k"))).alias("b"))
+    each = pairs.withColumn("o", o).where("o > 0").groupBy(*(F.col(f"l_{c}").alias(c) for c in BOX)).agg(F.max(F.struct("o", (-F.col("r_id")).alias("k"))).alias("b"))
+    best = known.join(each, BOX).groupBy("id").agg(F.max("b").alias("b"))
     out = known.select("id").join(best, "id", "left").select("id", (-F.col("b.k")).alias("best"), F.coalesce(F.col("b.o"), F.lit(0.0)).alias("o"))
     return out.select("id", "best", F.round("o", 6).alias("overlap"), (F.col("o") >= 0.18).alias("detected"))
 

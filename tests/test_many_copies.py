@@ -37,7 +37,7 @@ def crowded(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["nearest_named", "bbox_intersects", "point_in_forbidden_anti"])
+@pytest.mark.parametrize("name", ["nearest_named", "bbox_intersects", "point_in_forbidden_anti", "best_overlap", "validation_recall"])
 def test_copies_are_met_once(spark, crowded, name):
     df = feature_queries.QUERIES[name](spark, crowded)
     assert joined(df) <= 12_000
