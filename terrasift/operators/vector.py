@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import stats
+from ..functions.durable import durable
 from ..functions.ship import ship
 from ..functions.stats import clip
 
@@ -217,48 +218,99 @@ BANK = 20_000
 SHAPE_SCALES = (4.615, 1.0, 1.0, 1.0, 1.0, 2.0)
 
 
+def _scale(off: np.ndarray) -> np.ndarray:
+    return np.maximum(1.4826 * off, 0.25)
+
+
+def _median_without(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """For each x, one of the ordered values: the median of the others."""
+    k0, k1 = (len(ordered) - 2) // 2, (len(ordered) - 1) // 2
+    low, high = (np.where(x > ordered[k], ordered[k], ordered[k + 1]) for k in (k0, k1))
+    return (low + high) / 2
+
+
+def scales_without(uids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of the values x the scale of the values of other uids: 1.4826 MAD, 0.25 at least; 1 where there are fewer than two.
+
+    Without one value the median is one of three at most, so each is taken once; only uids that repeat are taken one by one.
+    """
+    n = len(x)
+    kinds, at, copies = np.unique(uids, return_inverse=True, return_counts=True)
+    out = np.ones(n)
+    if n > 2:
+        middle = _median_without(x, np.sort(x))
+        for m in np.unique(middle[copies[at] == 1]):
+            off, rows = np.abs(x - m), middle == m
+            out[rows] = _scale(_median_without(off[rows], np.sort(off)))
+    for k in np.flatnonzero(copies > 1):
+        rest = x[at != k]
+        out[at == k] = _scale(np.median(np.abs(rest - np.median(rest)))) if len(rest) > 1 else 1.0
+    return out
+
+
+def _own_scales(bank: DataFrame, names: list[str]) -> DataFrame:
+    """(_uid, scales by name) for each uid of the bank. A task holds one column of the bank."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"_uid": part["uid"], "name": part["name"], "scale": scales_without(part["uid"].to_numpy(), part["x"].to_numpy(float))})
+        return out.drop_duplicates("_uid")
+
+    schema = StructType([StructField("_uid", bank.schema["uid"].dataType), StructField("name", LongType()), StructField("scale", DoubleType())])
+    each = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("name"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)))).alias("e")
+    long = bank.select("uid", each).select("uid", "e.*").groupBy("name").applyInPandas(one, schema)
+    return long.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("name", "scale"))).alias("_s")).select("_uid", F.transform("_s", lambda e: e["scale"]).alias("_scales"))  # as many values as names
+
+
 def similarity(rows: DataFrame, bank: DataFrame, names: list[str], leave_out: bool = False, shape: list[str] | None = None, block: int = BANK) -> DataFrame:
     """Nearest reference of each row: label, uid and exp(-2 * distance), where the distance is 0.88 of the RMS difference in
     robust units and, with `shape` (columns of rows and bank), 0.12 of the signatures' in SHAPE_SCALES.
 
     rows: id, the descriptor's columns (and uid with leave_out: references of that uid don't count, neither as nearest
     nor in the scale). References go to the executors `block` at a time, so any number of them is compared; ties take
-    the smallest uid. Leaving out needs all references at hand, and is refused beyond one block of them. Without any
-    reference no row comes out.
+    the smallest uid. Without any reference no row comes out.
     """
     ship(rows.sparkSession)
     shape = shape or []
     n = bank.count()
-    if leave_out and n > block:
-        raise ValueError(f"more than {block} references to leave one out of")
-    if n and not leave_out:
+    whole = np.ones(len(names))
+    if n > 1:
         middle = stats.quantiles(bank, {c: (c, 0.5) for c in names})
         off = stats.quantiles(bank, {c: (F.abs(F.col(c) - middle[c]), 0.5) for c in names})
-        whole = np.array([max(1.4826 * off[c], 0.25) if n > 1 else 1.0 for c in names])
+        whole = np.array([max(1.4826 * off[c], 0.25) for c in names])
     columns = ["id", *(["uid"] if leave_out else []), *names, *shape]
+    if leave_out:
+        own = _own_scales(bank, names)
+        rows = durable(rows.select(*columns).join(own, F.col("uid") == F.col("_uid"), "left").drop("_uid"))
+        columns.append("_scales")
     kinds = {f.name: f.dataType for f in bank.schema}
     schema = StructType([rows.schema["id"], StructField("dist", DoubleType()), StructField("match", kinds["uid"]), StructField("label", kinds["label"])])
 
-    def scale_without(refs: np.ndarray) -> np.ndarray:
-        if len(refs) < 2:
-            return np.ones(refs.shape[1])
-        return np.maximum(1.4826 * np.median(np.abs(refs - np.median(refs, axis=0)), axis=0), 0.25)
-
     def against(part: pd.DataFrame) -> DataFrame:
         part = part.sort_values("uid", ignore_index=True)
         refs, forms = part[names].to_numpy(float), part[shape].to_numpy(float) / np.array(SHAPE_SCALES[: len(shape)])
         uids, labels = part["uid"].to_numpy(), part["label"].to_numpy()
+        centre = refs.mean(axis=0) if len(refs) else whole
+        moved = refs - centre
+
+        def close(x: np.ndarray, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows by references: the squares of distances, up to rounding, and what rounding may add or take."""
+            w, y = scales**-2.0, x - centre
+            parts = (moved**2) @ w.T, moved @ (y * w).T, (y**2 * w).sum(axis=1)
+            return (parts[0] - 2 * parts[1] + parts[2]).T, 1e-9 * (parts[0].max(axis=0) + parts[2])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in (b.iloc[k : k + 200] for b in batches for k in range(0, len(b), 200)):
                 x, f = b[names].to_numpy(float), b[shape].to_numpy(float) / np.array(SHAPE_SCALES[: len(shape)])
+                scales = np.array([whole if s is None else s for s in b["_scales"]]) if leave_out else np.tile(whole, (len(b), 1))
+                square, slack = close(x, scales) if len(refs) and not shape else (None, None)
                 out = []
                 for i, key in enumerate(b["id"]):
-                    use = uids != b["uid"].iloc[i] if leave_out else slice(None)
-                    r = refs[use]
-                    if not len(r):
+                    use = np.flatnonzero(uids != b["uid"].iloc[i]) if leave_out else np.arange(len(refs))
+                    if len(use) and not shape and np.isfinite(square[i]).all():  # the exact distances decide among the closest
+                        use = use[square[i][use] <= square[i][use].min() + slack[i]]
+                    if not len(use):
                         continue
-                    d = 0.88 * np.sqrt((((r - x[i]) / (scale_without(r) if leave_out else whole)) ** 2).mean(axis=1))
+                    d = 0.88 * np.sqrt((((refs[use] - x[i]) / scales[i]) ** 2).mean(axis=1))
                     if shape:
                         d = d + 0.12 * np.sqrt(((forms[use] - f[i]) ** 2).mean(axis=1))
                     k = int(np.argmin(d))

@@ -144,3 +144,19 @@ def test_similarity_in_blocks_and_with_shapes(spark):
     for block in (1000, 7):
         got = sorted((r["id"], r["match"], r["similarity"]) for r in vector.similarity(rows, bank, names, shape=shape, block=block).collect())
         assert [(i, m) for i, m, _ in got] == [(i, 10 + int(d[i].argmin())) for i in range(10)] and np.allclose([s for *_, s in got], np.exp(-2 * d.min(axis=1)))
+
+
+def test_leaving_one_out_of_any_number_of_references(spark):
+    rng = np.random.default_rng(7)
+    for uids in (np.arange(31), np.arange(30), np.array([0, 1, 1, 1, 2, 3, 3, 4, 5]), np.array([0, 1]), np.array([3])):
+        x = rng.integers(0, 6, (len(uids), 3)) * 0.7
+        bank = spark.createDataFrame([(i, int(u), "k", *map(float, x[i])) for i, u in enumerate(uids)], "id long, uid long, label string, a double, b double, c double")
+        want = []
+        for i, u in enumerate(uids):
+            r, left = x[uids != u], uids[uids != u]
+            if len(r):
+                scale = np.maximum(1.4826 * np.median(np.abs(r - np.median(r, axis=0)), axis=0), 0.25) if len(r) > 1 else 1.0
+                d = 0.88 * np.sqrt((((r - x[i]) / scale) ** 2).mean(axis=1))
+                want.append((i, int(left[d == d.min()].min()), np.exp(-2 * d.min())))
+        got = sorted((r["id"], r["match"], r["similarity"]) for r in vector.similarity(bank, bank, ["a", "b", "c"], leave_out=True, block=7).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
