@@ -35,7 +35,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 98, 5
 #: Bands of minima over shingles, and minima in each: a pair of resemblance 0.8 has none in common with a chance of 0.0002.
 BANDS, BAND = 16, 4
-#: Bands that split a band's large shard; a group of at most FEW proposes all its pairs, a larger one a spanning forest.
+#: Bands that split a band's large shard; a group of at most FEW proposes all its pairs, a larger one a spanning forest and then the rest().
 NEXT, FEW = 4, 16
 #: Shards of more fingerprints than this are split into shards of more equal bits.
 LARGE = 2000
@@ -124,7 +124,7 @@ def shard_links(codes: list[int], radius: int = RADIUS) -> list[int]:
     return [sets.find(i) for i in range(len(codes))]
 
 
-def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int = RADIUS, c: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs with signatures alike of codes that the tree links; codes may repeat."""
     groups: dict[int, list[int]] = {}
     for i, code in enumerate(codes):
@@ -136,16 +136,23 @@ def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int =
     for rows in around.values():
         if len(rows) > 1:
             at = np.array(rows)
-            out += [(rows[i], rows[j]) for i, j in alike_pairs(s1[at], s2[at])]
+            out += [(rows[i], rows[j]) for i, j in alike_pairs(s1[at], s2[at], None if c is None else c[at])]
     return out
 
 
-def alike_pairs(s1: np.ndarray, s2: np.ndarray) -> list[tuple[int, int]]:
+def alike_pairs(s1: np.ndarray, s2: np.ndarray, c: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs whose signatures agree in AGREE bits: all of a few rows; else the spanning forest of the likest pairs.
 
-    The pairs of any least resemblance connect the same rows as the forest's pairs of that resemblance.
+    The pairs of any least resemblance connect the same rows as the forest's pairs of that resemblance. With components c:
+    all pairs of different ones.
     """
     n = len(s1)
+    if c is not None:
+        out = []
+        for at in range(n - 1):
+            off = np.bitwise_count(s1[at + 1 :] ^ s1[at]).astype(np.int64) + np.bitwise_count(s2[at + 1 :] ^ s2[at])
+            out += [(at, at + 1 + k) for k in np.flatnonzero((off <= SIGN_BITS - AGREE) & (c[at + 1 :] != c[at])).tolist()]
+        return out
     if n <= FEW:
         off = np.bitwise_count(s1[:, None] ^ s1) + np.bitwise_count(s2[:, None] ^ s2)
         i, j = np.nonzero(np.triu(off <= SIGN_BITS - AGREE, 1))
@@ -186,7 +193,8 @@ def _signed(x: int) -> int:
 def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
     """(shard, node, code) -> links from each node to the first of its component in the shard; shards are bounded.
 
-    With signatures: proposed pairs; without codes then, whatever is in the shard may be a pair.
+    With signatures: proposed pairs; without codes then, whatever is in the shard may be a pair. With components c as well:
+    all pairs of different ones.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +212,7 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
         """Of the shards that begin at starts; the last start only ends the one before."""
         node, code = b["node"].to_numpy(), b["code"].to_numpy().view(np.uint64) if "code" in b else None
         sign = [b[c].to_numpy().view(np.uint64) for c in ("s1", "s2") if c in b]
+        c = b["c"].to_numpy() if "c" in b else None
         a_out, b_out = [], []
         for i in np.flatnonzero(np.diff(starts) > 1):
             part = slice(starts[i], starts[i + 1])
@@ -211,9 +220,9 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
             if not sign:
                 pairs = enumerate(shard_links([int(x) for x in code[part]], radius))
             elif code is None:
-                pairs = alike_pairs(sign[0][part], sign[1][part])
+                pairs = alike_pairs(sign[0][part], sign[1][part], None if c is None else c[part])
             else:
-                pairs = shard_pairs([int(x) for x in code[part]], sign[0][part], sign[1][part], radius)
+                pairs = shard_pairs([int(x) for x in code[part]], sign[0][part], sign[1][part], radius, None if c is None else c[part])
             for j, first in pairs:
                 if first != j:
                     lo, hi = sorted((int(own[first]), int(own[j])))
@@ -269,7 +278,8 @@ def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> Dat
     """(node, bands, s1, s2) -> pairs (lo, hi) proposed for nodes that have a band in common.
 
     A shard of more than `large` nodes is split by each of the NEXT bands that follow; what is larger still has eight
-    minima alike, and is dealt to pieces anew for each choice of bands.
+    minima alike, and is dealt to pieces of half that size, each two of which meet: no pair of the shard is passed over.
+    With column c, the component: all pairs of different ones.
     """
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -279,8 +289,9 @@ def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> Dat
         sizes = F.broadcast(sizes) if n <= 10_000 else sizes
         return rows.join(sizes, "shard", "left_anti"), rows.join(sizes, "shard")
 
+    own = [x for x in nodes.columns if x != "bands"]
     shard = F.struct(F.col("t"), F.col("v")).alias("shard")
-    rows = nodes.select("node", "s1", "s2", F.posexplode("bands").alias("t", "v")).select("node", "s1", "s2", shard)
+    rows = nodes.select(*own, F.posexplode("bands").alias("t", "v")).select(*own, shard)
     rows, more = split(rows)
     out = _tree_links(rows, RADIUS)
     if more is None:
@@ -288,17 +299,43 @@ def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> Dat
     more = table(spark, more.drop("_n"), "large").join(nodes.select("node", "bands"), "node")
     t = F.col("shard.t")
     each = F.explode(F.array(*(F.struct((t + d * BANDS).alias("t"), F.xxhash64("shard.v", F.get("bands", (t + d) % BANDS)).alias("v")) for d in range(1, NEXT + 1))))
-    rows, more = split(table(spark, more.select("node", "s1", "s2", each.alias("shard")), "split"))
+    rows, more = split(table(spark, more.select(*own, each.alias("shard")), "split"))
     out = out.unionByName(_tree_links(rows, RADIUS))
     if more is None:
         return out
-    piece = F.pmod(F.xxhash64("node", "shard.t", "shard.v"), F.ceil(F.col("_n") / large))
-    pieces = F.struct(F.col("shard.t").alias("t"), F.xxhash64("shard.v", piece).alias("v")).alias("shard")
-    return out.unionByName(_tree_links(more.select("node", "s1", "s2", pieces), RADIUS))
+    n = F.ceil(F.col("_n") / max(1, large // 2)).cast("int")  # three at least
+    piece = F.pmod(F.xxhash64("node"), n).cast("int")
+    others = F.filter(F.sequence(F.lit(0), n - 1), lambda k: k != F.col("_i"))
+    met = F.explode(F.transform(others, lambda k: F.struct(F.col("shard.t").alias("t"), F.xxhash64("shard.v", F.least("_i", k), F.greatest("_i", k)).alias("v")))).alias("shard")
+    return out.unionByName(_tree_links(more.withColumn("_i", piece).select(*own, met), RADIUS))
+
+
+def proposals(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(node, c0 ..., s1, s2, bands, and c to leave out pairs of one component) -> written pairs (lo, hi), each once."""
+    keep = [x for x in ("node", "s1", "s2", "c") if x in nodes.columns]
+    each = nodes.select(*keep, F.posexplode(F.array(*(f"c{i}" for i in range(PRINTS)))).alias("f", "code"))
+    pairs = links(spark, each).unionByName(band_links(spark, nodes.select(*keep, "bands")))
+    return table(spark, pairs.where("lo < hi").distinct(), "proposed")
+
+
+def rest(spark: SparkSession, nodes: DataFrame, pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """The pairs that `pairs` (tested) and `same` (those of them that are near copies) leave open.
+
+    A forest connects what the signatures find alike, but where one of its pairs fails, another pair may link the two
+    parts. Both parts then have an end of a failed pair; all pairs of different components among such are returned.
+    """
+    label = components(spark, same).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    named = table(spark, nodes.join(label, F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "node")).drop("_n", "_c"), "components")
+    failed = pairs.join(same, ["lo", "hi"], "left_anti")
+    for end in ("lo", "hi"):
+        failed = failed.join(named.select(F.col("node").alias(end), F.col("c").alias(f"_{end}")), end)
+    open_ = failed.where("_lo <> _hi").select(F.explode(F.array("_lo", "_hi")).alias("c")).distinct()
+    among = table(spark, named.join(open_.hint("merge"), "c", "left_semi"), "open")
+    return table(spark, proposals(spark, among).join(pairs, ["lo", "hi"], "left_anti"), "rest")
 
 
 def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (lo, hi) of ids whose texts share 0.8 or more of their five-word shingles, counted on the shingles themselves."""
+    """The distinct pairs (lo, hi) of ids whose texts share 0.8 or more of their five-word shingles, counted on the shingles themselves."""
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -315,7 +352,6 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFra
                 keep.append(x.tobytes() == y.tobytes() or 5 * both >= 4 * (len(x) + len(y) - both))
             yield b.loc[keep, ["lo", "hi"]]
 
-    pairs = table(spark, pairs.where("lo < hi").distinct(), "proposed")
     ends = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node").select("node", "n", "text")
     sets = table(spark, map_batches(texts, shingled, "node long, n long, own binary"), "shingles")
@@ -451,8 +487,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     seen = table(spark, marked(docs.where(F.col("doc_id").isNotNull())), "marks")
     codes = [f"c{i}" for i in range(PRINTS)]
     nodes = table(spark, seen.groupBy(*codes, "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
-    each = nodes.select("node", "s1", "s2", F.posexplode(F.array(*codes)).alias("f", "code"))
-    found = components(spark, confirmed(spark, docs, links(spark, each).unionByName(band_links(spark, nodes))))
+    pairs = proposals(spark, nodes)
+    same = table(spark, confirmed(spark, docs, pairs), "near")
+    more = confirmed(spark, docs, rest(spark, nodes, pairs, same))
+    found = components(spark, same.unionByName(more))
     stay = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_anti").select(F.col("node").alias("_stay"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.struct("*").alias("_row"))
     kept = rows.where("_id IS NOT NULL").join(stay.hint("merge"), F.col("_id") == F.col("_stay"))

@@ -536,6 +536,31 @@ def test_large_bands_are_split(spark):
     assert near_dups.components(spark, pairs).where("component = 0").count() == 199
 
 
+def test_every_pair_of_a_large_band_meets(spark):
+    rnd = random.Random(8)
+    signs = [rnd.getrandbits(63) for _ in range(20)]
+    rows = [(i, [7] * near_dups.BANDS, signs[i // 2], rnd.getrandbits(4)) for i in range(40)]
+    got = near_dups.band_links(spark, spark.createDataFrame(rows, "node long, bands array<long>, s1 long, s2 long"), 2).distinct().collect()
+    assert {(r["lo"], r["hi"]) for r in got} >= {(i, i + 1) for i in range(0, 40, 2)}
+
+
+def test_failed_pairs_of_a_forest_leave_the_others_open(spark, monkeypatch):
+    rnd = random.Random(9)
+    while True:  # all share 0.78 to 0.795 of their shingles, the first two 0.805; the forest lacks the first two
+        w, texts = [f"w{rnd.random()}" for _ in range(300)], []
+        for i in range(18):
+            at, k = 6 + 16 * i, 12 if i < 2 else 14
+            texts.append(" ".join(w[:at] + [f"x{rnd.random()}" for _ in range(k)] + w[at + k :]))
+        sign = np.array([near_dups.marks(t, near_dups._Hashes())[near_dups.PRINTS : near_dups.PRINTS + 2] for t in texts], np.uint64)
+        if (0, 1) not in {tuple(sorted(p)) for p in near_dups.alike_pairs(sign[:, 0], sign[:, 1])}:
+            break
+    whole = near_dups.marked
+    one = lambda docs: whole(docs).withColumns({"bands": F.array_repeat(F.lit(7).cast("long"), near_dups.BANDS)} | {f"c{i}": F.xxhash64("doc_id", F.lit(i)) for i in range(near_dups.PRINTS)})
+    monkeypatch.setattr(near_dups, "marked", one)  # one group
+    out = near_dups.deduplicate(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, *range(2, 18)]
+
+
 def test_quality_classifier(spark, data):
     got = OPS["op9_quality_classifier"](spark, data).join(common.read(spark, data, "labels"), "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() >= 0.8
