@@ -19,7 +19,7 @@ like others; a row without doc_id has a fingerprint but takes part in no compone
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ PRINTS, SIGN_BITS, AGREE, SIGN_SHINGLE = 4, 128, 98, 5
 BANDS, BAND = 16, 4
 #: Bands that split a band's large shard; a group of at most FEW proposes all its pairs, a larger one a spanning forest and then the rest().
 NEXT, FEW = 4, 16
+#: Shingles of a piece of an open group: see rest().
+PIECE = 1 << 20
 #: Shards of more fingerprints than this are split into shards of more equal bits.
 LARGE = 2000
 
@@ -124,7 +126,7 @@ def shard_links(codes: list[int], radius: int = RADIUS) -> list[int]:
     return [sets.find(i) for i in range(len(codes))]
 
 
-def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int = RADIUS, c: np.ndarray | None = None) -> list[tuple[int, int]]:
+def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Pairs with signatures alike of codes that the tree links; codes may repeat."""
     groups: dict[int, list[int]] = {}
     for i, code in enumerate(codes):
@@ -136,23 +138,16 @@ def shard_pairs(codes: list[int], s1: np.ndarray, s2: np.ndarray, radius: int =
     for rows in around.values():
         if len(rows) > 1:
             at = np.array(rows)
-            out += [(rows[i], rows[j]) for i, j in alike_pairs(s1[at], s2[at], None if c is None else c[at])]
+            out += [(rows[i], rows[j]) for i, j in alike_pairs(s1[at], s2[at])]
     return out
 
 
-def alike_pairs(s1: np.ndarray, s2: np.ndarray, c: np.ndarray | None = None) -> list[tuple[int, int]]:
+def alike_pairs(s1: np.ndarray, s2: np.ndarray) -> list[tuple[int, int]]:
     """Pairs whose signatures agree in AGREE bits: all of a few rows; else the spanning forest of the likest pairs.
 
-    The pairs of any least resemblance connect the same rows as the forest's pairs of that resemblance. With components c:
-    all pairs of different ones.
+    The pairs of any least resemblance connect the same rows as the forest's pairs of that resemblance.
     """
     n = len(s1)
-    if c is not None:
-        out = []
-        for at in range(n - 1):
-            off = np.bitwise_count(s1[at + 1 :] ^ s1[at]).astype(np.int64) + np.bitwise_count(s2[at + 1 :] ^ s2[at])
-            out += [(at, at + 1 + k) for k in np.flatnonzero((off <= SIGN_BITS - AGREE) & (c[at + 1 :] != c[at])).tolist()]
-        return out
     if n <= FEW:
         off = np.bitwise_count(s1[:, None] ^ s1) + np.bitwise_count(s2[:, None] ^ s2)
         i, j = np.nonzero(np.triu(off <= SIGN_BITS - AGREE, 1))
@@ -193,8 +188,7 @@ def _signed(x: int) -> int:
 def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
     """(shard, node, code) -> links from each node to the first of its component in the shard; shards are bounded.
 
-    With signatures: proposed pairs; without codes then, whatever is in the shard may be a pair. With components c as well:
-    all pairs of different ones.
+    With signatures: proposed pairs; without codes then, whatever is in the shard may be a pair.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +206,6 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
         """Of the shards that begin at starts; the last start only ends the one before."""
         node, code = b["node"].to_numpy(), b["code"].to_numpy().view(np.uint64) if "code" in b else None
         sign = [b[c].to_numpy().view(np.uint64) for c in ("s1", "s2") if c in b]
-        c = b["c"].to_numpy() if "c" in b else None
         a_out, b_out = [], []
         for i in np.flatnonzero(np.diff(starts) > 1):
             part = slice(starts[i], starts[i + 1])
@@ -220,9 +213,9 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
             if not sign:
                 pairs = enumerate(shard_links([int(x) for x in code[part]], radius))
             elif code is None:
-                pairs = alike_pairs(sign[0][part], sign[1][part], None if c is None else c[part])
+                pairs = alike_pairs(sign[0][part], sign[1][part])
             else:
-                pairs = shard_pairs([int(x) for x in code[part]], sign[0][part], sign[1][part], radius, None if c is None else c[part])
+                pairs = shard_pairs([int(x) for x in code[part]], sign[0][part], sign[1][part], radius)
             for j, first in pairs:
                 if first != j:
                     lo, hi = sorted((int(own[first]), int(own[j])))
@@ -274,16 +267,17 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS, large: in
     return out
 
 
-def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> DataFrame:
+def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE, *, loose: list[DataFrame] | None = None) -> DataFrame:
     """(node, bands, s1, s2) -> pairs (lo, hi) proposed for nodes that have a band in common.
 
     A shard of more than `large` nodes is split by each of the NEXT bands that follow; what is larger still has eight
     minima alike, and is dealt to pieces of half that size, each two of which meet: no pair of the shard is passed over.
-    With column c, the component: all pairs of different ones.
+    With a list `loose`, pieces do not meet; links (lo, hi) that hold such a shard together are added to it instead, one a
+    node, and whoever calls compares the rest of what they hold together.
     """
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        sizes = table(spark, rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > large), "large-bands")
+        sizes = table(spark, rows.groupBy("shard").agg(F.count("*").alias("_n"), F.min("node").alias("_first")).where(F.col("_n") > large), "large-bands")
         if not (n := sizes.count()):
             return rows, None
         sizes = F.broadcast(sizes) if n <= 10_000 else sizes
@@ -296,7 +290,7 @@ def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> Dat
     out = _tree_links(rows, RADIUS)
     if more is None:
         return out
-    more = table(spark, more.drop("_n"), "large").join(nodes.select("node", "bands"), "node")
+    more = table(spark, more.drop("_n", "_first"), "large").join(nodes.select("node", "bands"), "node")
     t = F.col("shard.t")
     each = F.explode(F.array(*(F.struct((t + d * BANDS).alias("t"), F.xxhash64("shard.v", F.get("bands", (t + d) % BANDS)).alias("v")) for d in range(1, NEXT + 1))))
     rows, more = split(table(spark, more.select(*own, each.alias("shard")), "split"))
@@ -305,37 +299,23 @@ def band_links(spark: SparkSession, nodes: DataFrame, large: int = LARGE) -> Dat
         return out
     n = F.ceil(F.col("_n") / max(1, large // 2)).cast("int")  # three at least
     piece = F.pmod(F.xxhash64("node"), n).cast("int")
+    if loose is not None:
+        loose.append(table(spark, more.select(F.col("_first").alias("lo"), F.col("node").alias("hi")).where("lo < hi").distinct(), "loose"))
+        return out.unionByName(_tree_links(more.select(*own, F.struct(F.col("shard.t").alias("t"), F.xxhash64("shard.v", piece).alias("v")).alias("shard")), RADIUS))
     others = F.filter(F.sequence(F.lit(0), n - 1), lambda k: k != F.col("_i"))
     met = F.explode(F.transform(others, lambda k: F.struct(F.col("shard.t").alias("t"), F.xxhash64("shard.v", F.least("_i", k), F.greatest("_i", k)).alias("v")))).alias("shard")
     return out.unionByName(_tree_links(more.withColumn("_i", piece).select(*own, met), RADIUS))
 
 
-def proposals(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(node, c0 ..., s1, s2, bands, and c to leave out pairs of one component) -> written pairs (lo, hi), each once."""
-    keep = [x for x in ("node", "s1", "s2", "c") if x in nodes.columns]
-    each = nodes.select(*keep, F.posexplode(F.array(*(f"c{i}" for i in range(PRINTS)))).alias("f", "code"))
-    pairs = links(spark, each).unionByName(band_links(spark, nodes.select(*keep, "bands")))
+def proposals(spark: SparkSession, nodes: DataFrame, loose: list[DataFrame] | None = None) -> DataFrame:
+    """(node, c0 ..., s1, s2, bands) -> written pairs (lo, hi), each once; for `loose` see band_links()."""
+    each = nodes.select("node", "s1", "s2", F.posexplode(F.array(*(f"c{i}" for i in range(PRINTS)))).alias("f", "code"))
+    pairs = links(spark, each).unionByName(band_links(spark, nodes.select("node", "s1", "s2", "bands"), loose=loose))
     return table(spark, pairs.where("lo < hi").distinct(), "proposed")
 
 
-def rest(spark: SparkSession, nodes: DataFrame, pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """The pairs that `pairs` (tested) and `same` (those of them that are near copies) leave open.
-
-    A forest connects what the signatures find alike, but where one of its pairs fails, another pair may link the two
-    parts. Both parts then have an end of a failed pair; all pairs of different components among such are returned.
-    """
-    label = components(spark, same).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    named = table(spark, nodes.join(label, F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "node")).drop("_n", "_c"), "components")
-    failed = pairs.join(same, ["lo", "hi"], "left_anti")
-    for end in ("lo", "hi"):
-        failed = failed.join(named.select(F.col("node").alias(end), F.col("c").alias(f"_{end}")), end)
-    open_ = failed.where("_lo <> _hi").select(F.explode(F.array("_lo", "_hi")).alias("c")).distinct()
-    among = table(spark, named.join(open_.hint("merge"), "c", "left_semi"), "open")
-    return table(spark, proposals(spark, among).join(pairs, ["lo", "hi"], "left_anti"), "rest")
-
-
-def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The distinct pairs (lo, hi) of ids whose texts share 0.8 or more of their five-word shingles, counted on the shingles themselves."""
+def shingle_sets(spark: SparkSession, docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, n and own, the sorted distinct shingles of each text, for ids given as (node, n); written."""
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -343,6 +323,18 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFra
             sets = [np.unique(shingles(_word_hashes(t, hashes))).tobytes() for t in b["text"]]
             yield pd.DataFrame({"node": b["node"], "n": b["n"], "own": sets})
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node").select("node", "n", "text")
+    return table(spark, map_batches(texts, shingled, "node long, n long, own binary"), "shingles")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(node, n): the ids of the pairs, and in how many each is."""
+    return pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+
+
+def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs (lo, hi) of ids whose texts share 0.8 or more of their five-word shingles, counted on the shingles themselves."""
+
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
@@ -352,15 +344,96 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFra
                 keep.append(x.tobytes() == y.tobytes() or 5 * both >= 4 * (len(x) + len(y) - both))
             yield b.loc[keep, ["lo", "hi"]]
 
-    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node").select("node", "n", "text")
-    sets = table(spark, map_batches(texts, shingled, "node long, n long, own binary"), "shingles")
+    sets = shingle_sets(spark, docs, ends_of(pairs)) if sets is None else sets
     met, n = pairs, pairs.count()
     for end, other in (("lo", "hi"), ("hi", "lo")):
         met = attach(met, sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("own").alias(f"own_{end}")), end, n, f"n_{end}", F.col(other))
     return map_batches(met.select("lo", "hi", "own_lo", "own_hi"), alike, "lo long, hi long")
 
 
+def group_links(sets: list[np.ndarray], c: np.ndarray, piece: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that share 0.8 or more of their distinct shingles and connect all components c that any such pairs do; with pieces, only pairs of different ones.
+
+    Shingles that more than half of the sets have are counted by who lacks them, so that near copies meet by their
+    differences: |x and y| = shared by all - lacking in x - lacking in y + lacking in both + rare ones in both.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(n), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = 2 * times > n
+    have = np.zeros((n, int(common.sum())), bool)
+    have[row[common[col]], (np.cumsum(common) - 1)[col[common[col]]]] = True
+    lack_row, lack_col = np.nonzero(~have)
+    lacks = np.bincount(lack_row, minlength=n)
+    rare = (~common & (times > 1))[col]
+    row, col = np.concatenate([lack_row, row[rare]]), np.concatenate([np.flatnonzero(common)[lack_col], col[rare]])
+    order = np.argsort(col, kind="stable")
+    who, starts = row[order], np.searchsorted(col[order], np.arange(len(times) + 1))
+    order = np.argsort(row, kind="stable")
+    what, own = col[order], np.searchsorted(row[order], np.arange(n + 1))
+    c, out, nobody = np.unique(c, return_inverse=True)[1], [], np.zeros(0, np.int64)
+    for i in range(n - 1):
+        met = [who[starts[x] : starts[x + 1]] for x in what[own[i] : own[i + 1]]]
+        both = np.bincount(np.concatenate(met) if met else nobody, minlength=n)[i + 1 :] + (have.shape[1] - lacks[i] - lacks[i + 1 :])
+        near = (9 * both >= 4 * (size[i] + size[i + 1 :])) & (c[i + 1 :] != c[i])
+        if piece is not None:
+            near &= piece[i + 1 :] != piece[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if c[i] != c[j]:
+                out.append((i, j))
+                c[c == c[j]] = c[i]
+    return out
+
+
+def rest(spark: SparkSession, pairs: DataFrame, same: DataFrame, sets: DataFrame, loose: list[DataFrame]) -> DataFrame:
+    """Links (lo, hi) of near copies that `pairs` (tested) and `same` (those of them that are near copies) leave open.
+
+    A forest connects what the signatures find alike, but where one of its pairs fails, another pair may link the two
+    parts. Components between which a pair has failed are an open group, as are those that `loose` holds together: whatever
+    could be linked is in one group. There all pairs of different components are compared by their shingles, and only links
+    that connect two of them come out. A group of more than PIECE shingles is dealt to pieces, each two of which meet.
+    """
+    label = components(spark, same).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    failed = pairs.join(same, ["lo", "hi"], "left_anti")
+    for x in loose:
+        failed = failed.unionByName(x)
+    for end in ("lo", "hi"):
+        failed = failed.join(label, F.col(end) == F.col("_n"), "left").withColumn(f"_{end}", F.coalesce("_c", end)).drop("_n", "_c")
+    failed = table(spark, failed.select(F.least("_lo", "_hi").alias("lo"), F.greatest("_lo", "_hi").alias("hi")).where("lo < hi").distinct(), "failed")
+    group = components(spark, failed).select(F.col("node").alias("_n"), F.col("component").alias("_g"))
+    open_ = failed.select(F.explode(F.array("lo", "hi")).alias("c")).distinct().join(group, F.col("c") == F.col("_n"), "left").select("c", F.coalesce("_g", "c").alias("g"))
+    named = sets.select("node", F.length("own").alias("_size")).join(label, F.col("node") == F.col("_n"), "left").select("node", "_size", F.coalesce("_c", "node").alias("c"))
+    named = table(spark, named, "components")
+    facts = named.groupBy("c").agg(F.count("*").alias("_m")).join(open_, "c")
+    among = table(spark, attach(named, facts, "c", named.count(), "_m", F.col("node")).where("g IS NOT NULL").drop("_m"), "open")
+    facts = among.groupBy("g").agg(F.count("*").alias("_m"), F.greatest(F.lit(1), F.ceil(F.sum("_size") / (8 * PIECE))).cast("int").alias("_k"))
+    among = attach(among, facts, "g", among.count(), "_m", F.col("node")).groupBy("node", "c", "g").agg(F.max("_k").alias("_k"))
+    among = among.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    met = among.select("node", "c", "piece", "g", F.least("piece", "_o").alias("a"), F.greatest("piece", "_o").alias("b"))
+
+    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """Links of one meeting (g, a, b)."""
+        node, c, piece, _, a, b, own = zip(*rows, strict=True)
+        if len(set(c)) > 1:
+            for i, j in group_links([np.frombuffer(x, np.uint64) for x in own], np.array(c), None if a[0] == b[0] else np.array(piece)):
+                yield min(node[i], node[j]), max(node[i], node[j])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in b.itertuples(index=False, name=None))
+        out: list[tuple[int, int]] = []
+        for _, meeting in groupby(rows, key=lambda r: r[3:6]):
+            out += linked(list(meeting))
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["lo", "hi"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["lo", "hi"])
+
+    dealt = met.join(sets.select("node", "own"), "node")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "a", "b").sortWithinPartitions("g", "a", "b", "node")
+    return map_batches(dealt, run, "lo long, hi long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Links (lo, hi) -> (node, component) for each node that is linked; the component is its smallest node.
 
@@ -487,9 +560,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     seen = table(spark, marked(docs.where(F.col("doc_id").isNotNull())), "marks")
     codes = [f"c{i}" for i in range(PRINTS)]
     nodes = table(spark, seen.groupBy(*codes, "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
-    pairs = proposals(spark, nodes)
-    same = table(spark, confirmed(spark, docs, pairs), "near")
-    more = confirmed(spark, docs, rest(spark, nodes, pairs, same))
+    loose: list[DataFrame] = []
+    pairs = proposals(spark, nodes, loose)
+    ends = ends_of(pairs)
+    for x in loose:
+        ends = ends.unionByName(ends_of(x).withColumn("n", F.lit(0).cast("long"))).groupBy("node").agg(F.sum("n").alias("n"))
+    sets = shingle_sets(spark, docs, ends)
+    same = table(spark, confirmed(spark, docs, pairs, sets), "near")
+    more = rest(spark, pairs, same, sets, loose)
     found = components(spark, same.unionByName(more))
     stay = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_anti").select(F.col("node").alias("_stay"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.struct("*").alias("_row"))

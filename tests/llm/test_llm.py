@@ -561,6 +561,67 @@ def test_failed_pairs_of_a_forest_leave_the_others_open(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, *range(2, 18)]
 
 
+def family(n, k, seed=10):
+    """Near copies of one text of 140 words, each with up to k words changed, and their five-word shingles."""
+    rnd = random.Random(seed)
+    w, texts = [f"w{i}" for i in range(140)], []
+    for i in range(n):
+        x = list(w)
+        for j in range(rnd.randint(1, k)):
+            x[rnd.randrange(140)] = f"x{i}.{j}"
+        texts.append(" ".join(x))
+    grams = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    sets = near_dups._Sets(n)
+    for i in range(n):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if 5 * both >= 4 * (len(grams[i]) + len(grams[j]) - both):
+                sets.join(i, j)
+    return texts, [i for i in range(n) if sets.find(i) == i]
+
+
+@pytest.mark.parametrize(("large", "piece"), [(2000, 1 << 20), (20, 4000)])
+def test_a_family_of_near_copies_is_compared_without_its_pairs(spark, large, piece, monkeypatch):
+    texts, want = family(300, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dups.band_links, "__defaults__", (large,))
+    monkeypatch.setattr(near_dups, "PIECE", piece, raising=False)
+    proposed, written = [], near_dups.table
+
+    def table(spark, df, name, *a):
+        out = written(spark, df, name, *a)
+        proposed.extend([out.count()] if name in ("proposed", "rest") else [])
+        return out
+
+    monkeypatch.setattr(near_dups, "table", table)
+    out = near_dups.deduplicate(spark, docs)
+    assert sorted(r["doc_id"] for r in out.collect()) == want and len(want) > 50
+    assert sum(proposed) < 20_000  # of 44,850 pairs
+
+
+def test_group_links_are_those_of_brute_force():
+    for seed in range(60):
+        rnd = np.random.default_rng(seed)
+        n, base = int(rnd.integers(2, 40)), rnd.integers(0, 1000, int(rnd.integers(1, 60))).astype(np.uint64)
+        rows = []
+        for _ in range(n):
+            x = base if rnd.random() < 0.5 else rnd.integers(0, 1000, int(rnd.integers(0, 40))).astype(np.uint64)
+            x = np.concatenate([x[rnd.random(len(x)) > rnd.random() * 0.25], rnd.integers(1000, 1040, int(rnd.integers(0, 6))).astype(np.uint64)])
+            rows.append(np.unique(x if rnd.random() > 0.05 else x[:0]))
+        c, piece = rnd.integers(0, n, n), rnd.integers(0, 3, n) if seed % 2 else None
+        got, want, first = near_dups._Sets(n), near_dups._Sets(n), {}
+        for i, x in enumerate(c.tolist()):
+            got.join(first.setdefault(x, i), i)
+            want.join(first[x], i)
+        assert all(got.join(i, j) for i, j in near_dups.group_links(rows, c, piece))
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(rows[i], rows[j]))
+                if (piece is None or piece[i] != piece[j]) and 5 * both >= 4 * (len(rows[i]) + len(rows[j]) - both):
+                    want.join(i, j)
+        assert [got.find(i) for i in range(n)] == [want.find(i) for i in range(n)]
+
+
 def test_quality_classifier(spark, data):
     got = OPS["op9_quality_classifier"](spark, data).join(common.read(spark, data, "labels"), "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() >= 0.8
